@@ -204,9 +204,9 @@ def district_summary(rollup: DataFrame) -> DataFrame:
 def headline_kpis(rollup: DataFrame, panel: DataFrame | None = None) -> DataFrame:
     """Latest and previous year in one row: price, volume, deposit ratio, changes."""
     latest = rollup.select(F.max("year")).scalar()
-    now, before = F.col("year") == latest, F.col("year") == latest - 1
-    recent = rollup.filter(F.col("year") >= latest - 1)
-    out = recent.agg(
+    dated = rollup.withColumn("_latest", latest).filter(F.col("year") >= F.col("_latest") - 1)
+    now, before = F.col("year") == F.col("_latest"), F.col("year") == F.col("_latest") - 1
+    out = dated.agg(
         F.max("year").alias("year"),
         F.avg(F.when(now, F.col("avg_price"))).alias("price"),
         F.avg(F.when(before, F.col("avg_price"))).alias("price_before"),

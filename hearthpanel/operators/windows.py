@@ -49,27 +49,41 @@ def zscore(df: DataFrame, col: str, *, group: str, name: str | None = None, dege
     return df.withColumn(name or f"{col}_z", F.when(spread > 0, ratio(F.col(col) - mean, spread)).otherwise(flat))
 
 
-def table_stats(df: DataFrame, *measures: Column) -> Column:
-    """One-row aggregate as a scalar struct."""
-    return df.select(F.struct(*measures)).scalar()
+def with_table_stats(df: DataFrame, *measures: Column, name: str = "_stats") -> DataFrame:
+    """Attach a one-row aggregate of the table to every row, as one struct column.
+
+    It is a scalar subquery: no join, and no window that would pull the table
+    into one task. All measures share it, so it runs once.
+    """
+    return df.withColumn(name, df.select(F.struct(*measures)).scalar())
+
+
+def _scaled(col: str, low: Column, high: Column, flat: float) -> Column:
+    return F.when(high > low, ratio(F.col(col) - low, high - low)).when(high == low, F.lit(float(flat)))
+
+
+def minmax_table(df: DataFrame, columns: dict[str, str], *, flat: float = 0.5) -> DataFrame:
+    """Scale several columns to 0-1 over the whole table; a flat column becomes ``flat``."""
+    edges = [e for c in columns for e in (F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"))]
+    df = with_table_stats(df, *edges)
+    stats = F.col("_stats")
+    return df.withColumns(
+        {name: _scaled(c, stats[f"{c}_low"], stats[f"{c}_high"], flat) for c, name in columns.items()}
+    ).drop("_stats")
 
 
 def minmax(
-    df: DataFrame, col: str, *, group: str | None = None, name: str | None = None, flat: float | None = 0.5
+    df: DataFrame, col: str, *, group: str | None = None, name: str | None = None, flat: float = 0.5
 ) -> DataFrame:
     """Scale to 0-1 over the table or per group; a flat series becomes ``flat``.
 
     Grading uses 0.5 for a flat series, charts use 0.
     """
+    name = name or f"{col}_scaled"
     if group is None:
-        stats = table_stats(df, F.min(col).alias("low"), F.max(col).alias("high"))
-        low, high = stats["low"], stats["high"]
-    else:
-        within = Window.partitionBy(group)
-        low, high = F.min(col).over(within), F.max(col).over(within)
-    scaled = ratio(F.col(col) - low, high - low)
-    flat_value = F.lit(flat).cast("double")
-    return df.withColumn(name or f"{col}_scaled", F.when(high > low, scaled).when(high == low, flat_value))
+        return minmax_table(df, {col: name}, flat=flat)
+    within = Window.partitionBy(group)
+    return df.withColumn(name, _scaled(col, F.min(col).over(within), F.max(col).over(within), flat))
 
 
 def rebase(df: DataFrame, col: str, *, base_period, group: str, order_by: str, name: str | None = None) -> DataFrame:

@@ -7,13 +7,16 @@ numbers as in real contracts, so sums do not depend on the order of rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthpanel.operators.contracts import lease_rollup, sales_rollup
+from hearthpanel.operators.contracts import lease_rollup, lease_rollups, sales_rollup
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -175,9 +178,12 @@ PROVINCE_MONTH = ["province", "year", "month"]
 def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Indicator tables in the shape of the curated public series."""
     facts = order_facts(spark, sf_dir)
-    monthly = facts.groupBy(*PROVINCE_MONTH).agg(*(F.sum(c).alias(c) for c in facts.columns[4:]))
-    yearly = facts.groupBy("province", "year").agg(*(F.sum(c).alias(c) for c in facts.columns[4:]))
-    national = facts.groupBy("year", "month").agg(*(F.sum(c).alias(c) for c in facts.columns[4:]))
+    sums = [F.sum(c).alias(c) for c in facts.columns[4:]]
+    # Region-period totals, each the base of several indicators.
+    monthly, yearly, national = (
+        facts.groupBy(*keys).agg(*sums).persist(StorageLevel.MEMORY_AND_DISK)
+        for keys in (PROVINCE_MONTH, ["province", "year"], ["year", "month"])
+    )
     count = F.col("n").cast("double")
     return {
         "population": yearly.select("province", "year", (F.col("n") * 40).alias("population")),
@@ -234,9 +240,12 @@ def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def panel_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    lease = leases(spark, sf_dir)
+    # One scan rolls up all lease kinds; the rollup is kept for its three uses.
+    lease = lease_rollups(leases(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    kinds = {kind: lease.filter(F.col("lease_kind") == kind).drop("lease_kind") for kind in LEASE_WHERE}
     return {
         "sales": rolled_sales(spark, sf_dir),
-        **{kind: lease_rollup(lease, kind=kind) for kind in LEASE_WHERE},
+        **kinds,
+        "deposit_only": kinds["deposit_only"].drop("avg_rent"),
         **indicators(spark, sf_dir),
     }
