@@ -362,24 +362,24 @@ UNAFFORDABLE = "구매불가"  # Fixed value: shown where no district is afforda
 def match_income(power: DataFrame, grades: DataFrame, *, price: str = "avg_price", digits: int | None = 0) -> DataFrame:
     """Best district grade that each ten-percent income band can afford.
 
-    The ten band medians travel as one literal-sized array; every district
-    reports itself to the bands that can pay for it and the best grade is kept
-    by a combining aggregate, so bands and districts are never paired by a join.
+    The ten band medians travel as one array of ten; every district reports
+    itself to the bands that can pay for it, at most ten rows each, and the best
+    grade is kept by an aggregate that combines before the shuffle.
     """
     band = F.floor((F.col("percentile") - 1) / 10).cast("int")
     bands = (
         power.filter(F.col("percentile").between(1, 99))
         .groupBy(band.alias("band"))
         .agg(F.median("purchasing_power").alias("power"))
+        .persist()  # ten rows, read twice
     )
     offers = bands.select(F.collect_list(F.struct("band", "power"))).scalar()
     offer = F.struct(
         F.col("grade").alias("grade"), F.col("district_name").alias("name"), F.col(price).cast("double").alias("price")
     )
     reached = (
-        grades.select(
-            F.explode(F.filter(offers, lambda b: b["power"] >= F.col(price))).alias("b"), offer.alias("offer")
-        )
+        grades.select(F.explode(offers).alias("b"), offer.alias("offer"))
+        .filter(F.col("b")["power"] >= F.col("offer")["price"])
         .groupBy(F.col("b")["band"].alias("band"))
         .agg(F.min("offer.grade").alias("grade"), F.min("offer").alias("best"))
     )
