@@ -141,16 +141,24 @@ def read_bank(spark: SparkSession, path: str | list[str], *, series: str | None
     return bank_rows(spark.read.schema(BANK_SCHEMA).option("multiLine", True).json(path), series=series)
 
 
-def bank_rows(responses: DataFrame, *, series: str | None = None) -> DataFrame:
-    """Monthly rows with a numeric value; ``seq`` is the position in the response."""
-    rows = responses.select(F.posexplode("StatisticSearch.row").alias("seq", "r"))
+def bank_rows(responses: DataFrame, *, series: str | Column | None = None, seq: Column | None = None) -> DataFrame:
+    """Monthly rows with a numeric value.
+
+    ``seq`` orders the rows that compete for one cell: arrival first, then the
+    position in the response.
+    """
+    label = series if isinstance(series, Column) else F.lit(series)
+    arrival = F.monotonically_increasing_id() if seq is None else seq
+    rows = responses.select(
+        label.alias("series"), arrival.alias("arrival"), F.posexplode("StatisticSearch.row").alias("position", "r")
+    )
     value = clean_double("r.DATA_VALUE")
     return rows.select(
-        "seq",
+        F.struct("arrival", "position").alias("seq"),
         F.when(F.length("r.TIME") >= 6, ym_from_compact("r.TIME")).alias("ym"),
         value.alias("value"),
         *(F.trim(F.coalesce(f"r.ITEM_NAME{i}", F.lit(""))).alias(f"item{i}") for i in range(1, 5)),
-        F.lit(series).alias("series"),
+        "series",
     ).filter(F.col("ym").isNotNull() & F.col("value").isNotNull())
 
 
