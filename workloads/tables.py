@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
         "n_nationkey",
-        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("district_code"),
-        F.col("n_name").alias("district_name"),
-        F.col("r_name").alias("province"),
+        "lpad(string(n_nationkey), 5, '0') AS district_code",
+        "n_name AS district_name",
+        "r_name AS province",
     )
 
 
@@ -45,16 +45,16 @@ def sales(spark: SparkSession, sf_dir: str, *, detail: bool = False) -> DataFram
         part = table(spark, sf_dir, "part")
         located = located.join(part, located.l_partkey == part.p_partkey)
     region = regions(spark, sf_dir)
-    out = located.join(region, located.s_nationkey == region.n_nationkey).select(
+    extra = ["l_orderkey", "l_linenumber", "l_suppkey", "l_discount", "l_tax", "year(l_shipdate) - p_size + 5 AS build_year"]
+    return located.join(region, located.s_nationkey == region.n_nationkey).selectExpr(
         "province",
         "district_code",
-        F.year("l_shipdate").alias("year"),
-        F.month("l_shipdate").alias("month"),
-        F.floor("l_extendedprice").cast("bigint").alias("amount"),
-        F.col("l_quantity").alias("area"),
-        *(["l_orderkey", "l_linenumber", "l_suppkey", "l_discount", "l_tax", "p_size"] if detail else []),
+        "year(l_shipdate) AS year",
+        "month(l_shipdate) AS month",
+        "bigint(floor(l_extendedprice)) AS amount",
+        "l_quantity AS area",
+        *(extra if detail else []),
     )
-    return out.withColumn("build_year", F.col("year") - F.col("p_size") + 5) if detail else out
 
 
 SALES = REGIONS + """,
@@ -73,21 +73,18 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     region = regions(spark, sf_dir)
     located = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return located.join(region, located.c_nationkey == region.n_nationkey).select(
+    return located.join(region, located.c_nationkey == region.n_nationkey).selectExpr(
         "province",
         "district_code",
-        F.year("o_orderdate").alias("year"),
-        F.month("o_orderdate").alias("month"),
-        F.floor("o_totalprice").cast("bigint").alias("deposit"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.floor(F.col("o_totalprice") / 100))
-        .otherwise(0)
-        .cast("double")
-        .alias("rent"),
-        (F.col("o_orderkey") % 100 + 1).cast("double").alias("area"),
+        "year(o_orderdate) AS year",
+        "month(o_orderdate) AS month",
+        "bigint(floor(o_totalprice)) AS deposit",
+        "double(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN floor(o_totalprice / 100) ELSE 0 END) AS rent",
+        "double(o_orderkey % 100 + 1) AS area",
         "o_orderkey",
         "o_orderstatus",
         "o_orderpriority",
-        F.floor("c_acctbal").cast("bigint").alias("balance"),
+        "bigint(floor(c_acctbal)) AS balance",
     )
 
 
@@ -135,29 +132,28 @@ def rolled_leases(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return lease_rollup(leases(spark, sf_dir), kind=kind)
 
 
+FACT_SUMS = {
+    "n": "1",
+    "open_n": "int(o_orderstatus = 'O')",
+    "done_n": "int(o_orderstatus = 'F')",
+    "part_n": "int(o_orderstatus = 'P')",
+    "urgent_n": "int(o_orderpriority = '1-URGENT')",
+    "low_n": "int(o_orderpriority = '5-LOW')",
+    "billed": "deposit",
+    "balances": "balance",
+    "urgent_billed": "if(o_orderpriority = '1-URGENT', deposit, 0)",
+}
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District-month figures from which the indicator tables are cut.
 
     One scan of the orders serves all indicators: the result has one row per
     district and month and is kept between its uses.
     """
-    counted = {
-        "n": F.lit(1),
-        "open_n": (F.col("o_orderstatus") == "O").cast("int"),
-        "done_n": (F.col("o_orderstatus") == "F").cast("int"),
-        "part_n": (F.col("o_orderstatus") == "P").cast("int"),
-        "urgent_n": (F.col("o_orderpriority") == "1-URGENT").cast("int"),
-        "low_n": (F.col("o_orderpriority") == "5-LOW").cast("int"),
-        "billed": F.col("deposit"),
-        "balances": F.col("balance"),
-        "urgent_billed": F.when(F.col("o_orderpriority") == "1-URGENT", F.col("deposit")).otherwise(0),
-    }
-    return (
-        leases(spark, sf_dir)
-        .groupBy("province", "district_code", "year", "month")
-        .agg(*(F.sum(value).alias(name) for name, value in counted.items()))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    sums = [F.expr(f"sum({value}) AS {name}") for name, value in FACT_SUMS.items()]
+    facts = leases(spark, sf_dir).groupBy("province", "district_code", "year", "month").agg(*sums)
+    return facts.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 FACTS = """
@@ -178,64 +174,53 @@ PROVINCE_MONTH = ["province", "year", "month"]
 def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Indicator tables in the shape of the curated public series."""
     facts = order_facts(spark, sf_dir)
-    sums = [F.sum(c).alias(c) for c in facts.columns[4:]]
+    sums = [F.expr(f"sum({name}) AS {name}") for name in FACT_SUMS]
     # Region-period totals, each the base of several indicators.
     monthly, yearly, national = (
         facts.groupBy(*keys).agg(*sums).persist(StorageLevel.MEMORY_AND_DISK)
         for keys in (PROVINCE_MONTH, ["province", "year"], ["year", "month"])
     )
-    count = F.col("n").cast("double")
+    in_month = PROVINCE_MONTH
     return {
-        "population": yearly.select("province", "year", (F.col("n") * 40).alias("population")),
-        "grdp": yearly.select("province", "year", F.col("billed").alias("grdp")),
-        "permits": monthly.select(*PROVINCE_MONTH, F.col("open_n").alias("permits")),
-        "pension": facts.select(
-            "province",
+        "population": yearly.selectExpr("province", "year", "n * 40 AS population"),
+        "grdp": yearly.selectExpr("province", "year", "billed AS grdp"),
+        "permits": monthly.selectExpr(*in_month, "open_n AS permits"),
+        "pension": facts.selectExpr(
+            *in_month,
             "district_code",
-            "year",
-            "month",
-            F.col("n").alias("pension_subscribers"),
-            F.col("billed").alias("pension_billed"),
-            F.col("urgent_n").alias("pension_workplaces"),
-            (F.col("open_n") - F.col("done_n")).alias("pension_net_hires"),
-            (F.col("billed").cast("double") / count).alias("pension_per_head"),
+            "n AS pension_subscribers",
+            "billed AS pension_billed",
+            "urgent_n AS pension_workplaces",
+            "open_n - done_n AS pension_net_hires",
+            "double(billed) / double(n) AS pension_per_head",
         ),
-        "loans": monthly.select(
-            *PROVINCE_MONTH,
-            F.col("billed").cast("double").alias("mortgage_balance"),
-            (F.col("urgent_billed").cast("double") / F.col("billed") * 100).alias("mortgage_share"),
+        "loans": monthly.selectExpr(
+            *in_month, "double(billed) AS mortgage_balance", "double(urgent_billed) / billed * 100 AS mortgage_share"
         ),
-        "assets": yearly.select(
+        "assets": yearly.selectExpr(
             "province",
             "year",
-            (F.col("billed").cast("double") / count).alias("household_assets"),
-            (F.col("urgent_billed").cast("double") / count).alias("household_debt"),
-            (F.col("balances").cast("double") / count).alias("household_income"),
+            "double(billed) / n AS household_assets",
+            "double(urgent_billed) / n AS household_debt",
+            "double(balances) / n AS household_income",
         ),
         "income": facts.groupBy("province", "district_code", "year").agg(
-            F.sum("n").alias("earners"),
-            F.sum("billed").alias("pay_total"),
-            F.sum("urgent_n").alias("taxpayers"),
-            F.sum("urgent_billed").alias("tax_total"),
-        ),
-        "unsold": monthly.select(*PROVINCE_MONTH, F.col("done_n").alias("unsold")),
-        "construction": monthly.select(*PROVINCE_MONTH, F.col("open_n").alias("starts"), F.col("part_n").alias("completions")),
-        "land_price": monthly.select(*PROVINCE_MONTH, (F.col("part_n") - F.col("low_n")).alias("land_price_change")),
-        "migration": monthly.select(
-            *PROVINCE_MONTH,
-            F.col("open_n").alias("moved_in"),
-            F.col("done_n").alias("moved_out"),
-            (F.col("open_n") - F.col("done_n")).alias("net_moved"),
-        ),
-        "rates": national.select("year", "month", (F.col("urgent_n").cast("double") / count).alias("base_rate")),
-        "conversion": monthly.select(*PROVINCE_MONTH, F.col("low_n").alias("conversion_rate")),
-        "price_index": monthly.select(*PROVINCE_MONTH, (F.col("billed").cast("double") / count).alias("sale_index")),
-        "market": monthly.select(
-            *PROVINCE_MONTH, (F.col("done_n").cast("double") / count * 200).alias("buyer_superiority")
+            *(
+                F.expr(f"sum({source}) AS {name}")
+                for source, name in (("n", "earners"), ("billed", "pay_total"), ("urgent_n", "taxpayers"), ("urgent_billed", "tax_total"))
+            )
         ),
-        "sentiment": national.select(
-            "year", "month", (F.col("open_n").cast("double") / count * 200).alias("price_outlook")
+        "unsold": monthly.selectExpr(*in_month, "done_n AS unsold"),
+        "construction": monthly.selectExpr(*in_month, "open_n AS starts", "part_n AS completions"),
+        "land_price": monthly.selectExpr(*in_month, "part_n - low_n AS land_price_change"),
+        "migration": monthly.selectExpr(
+            *in_month, "open_n AS moved_in", "done_n AS moved_out", "open_n - done_n AS net_moved"
         ),
+        "rates": national.selectExpr("year", "month", "double(urgent_n) / n AS base_rate"),
+        "conversion": monthly.selectExpr(*in_month, "low_n AS conversion_rate"),
+        "price_index": monthly.selectExpr(*in_month, "double(billed) / n AS sale_index"),
+        "market": monthly.selectExpr(*in_month, "double(done_n) / n * 200 AS buyer_superiority"),
+        "sentiment": national.selectExpr("year", "month", "double(open_n) / n * 200 AS price_outlook"),
     }
 
 
