@@ -70,7 +70,7 @@ def read_csv_any(spark: SparkSession, path: str | list[str], *, encoding: str |
     first = path if isinstance(path, str) else path[0]
     charset = encoding or detect_encoding(spark, first)
     schema = spark.read.options(header=header, encoding=charset).csv(first).schema
-    names = schema.names
+    names = list(schema.names)
     lines = (
         spark.read.schema(schema.add(_BAD, "string"))
         .options(header=header, encoding=charset, columnNameOfCorruptRecord=_BAD, columnPruning="false")

@@ -33,11 +33,10 @@ def rollup_or_build(
     The schema comes from the plan, so an empty rollup is readable too.
     """
     path = rollup_path(root, name)
+    rollup = build()
     if force_rebuild or not _is_complete(spark, path):
-        built = build()
-        write_rollup(built, path)
-        return spark.read.schema(built.schema).parquet(path)
-    return spark.read.parquet(path)
+        write_rollup(rollup, path)
+    return spark.read.schema(rollup.schema).parquet(path)
 
 
 def invalidate_rollups(spark: SparkSession, root: str, build: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:

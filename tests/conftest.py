@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         conf={
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            # Tiny inputs: compiling generated code costs more than it saves.
+            "spark.sql.codegen.wholeStage": "false",
             "spark.driver.memory": "6g",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },

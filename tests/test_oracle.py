@@ -8,6 +8,8 @@ from compare import check
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
+# The smallest tables have too few districts for a second page.
+EMPTY_WHEN_SMALL = {"grade_page"}
 
 
 def test_every_oracle_has_a_query():
@@ -24,4 +26,4 @@ def test_query(spark, name):
     problem, rows, _ = check(spark, name, QUERIES[name], ORACLES.get(name), SF, tolerance=1e-5)
     spark.catalog.clearCache()
     assert problem is None
-    assert rows > 0 or name in ("granger_lags", "granger_matrix")
+    assert rows > 0 or name in EMPTY_WHEN_SMALL

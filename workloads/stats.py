@@ -60,8 +60,9 @@ def corr_matrix(spark, sf):
 
 def _corr_by(key: str) -> str:
     return f"""WITH {PANEL_MONTHLY},
-g AS (SELECT {key}, count(*) AS n, corr(unsold, avg_price) AS r FROM panel_m
-      WHERE unsold IS NOT NULL AND avg_price IS NOT NULL GROUP BY {key} HAVING count(*) >= 3)
+c AS (SELECT {key}, count(*) AS n, corr(unsold, avg_price) AS r FROM panel_m
+      WHERE unsold IS NOT NULL AND avg_price IS NOT NULL GROUP BY {key} HAVING count(*) >= 3),
+g AS (SELECT {key}, n, CASE WHEN NOT isnan(r) THEN r END AS r FROM c)
 SELECT {key}, n, round_even(r, 4) AS r, round_even({p_value_sql('r', 'n')}, 4) AS p FROM g"""
 
 
