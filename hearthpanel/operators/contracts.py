@@ -116,6 +116,40 @@ def sales_detail_rollup(sales: DataFrame) -> DataFrame:
     )
 
 
+def sales_base(sales: DataFrame) -> DataFrame:
+    """Sums and counts per district, month and build year, unknown build years too.
+
+    Both sale rollups follow from it, so the contracts are scanned once for the two.
+    """
+    priced = with_building_age(with_unit_price(valid_contracts(sales)))
+    return (
+        _present(priced, SALE_KEYS)
+        .groupBy(*SALE_KEYS, "build_year")
+        .agg(
+            F.sum("amount").alias("amount_sum"),
+            F.sum("unit_price").alias("unit_sum"),
+            F.sum("building_age").alias("age_sum"),
+            F.count("building_age").alias("age_n"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+
+
+def rollup_from_base(base: DataFrame, *, detail: bool = False) -> DataFrame:
+    """The sale rollup, or the one by build year, from their shared base."""
+    if detail:
+        base = base.filter(F.col("build_year").isNotNull())
+    keys = [*SALE_KEYS, "build_year"] if detail else SALE_KEYS
+    measures = [
+        ratio(F.sum("amount_sum"), F.sum("n")).alias("avg_price"),
+        F.sum("n").alias("deal_count"),
+        ratio(F.sum("unit_sum"), F.sum("n")).alias("avg_unit_price"),
+    ]
+    if detail:
+        measures.append(ratio(F.sum("age_sum"), F.sum("age_n")).alias("avg_building_age"))
+    return _with_period(base.groupBy(*keys).agg(*measures))
+
+
 def lease_rollup(leases: DataFrame, *, kind: str) -> DataFrame:
     """Mean deposit, deposit per square metre and rent per district and month."""
     chosen = with_unit_price(valid_contracts(leases, "deposit"), "deposit", "deposit_per_area").filter(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthpanel.operators.contracts import lease_rollup, sales_detail_rollup, sales_rollup, type_leases, type_sales
+from hearthpanel.operators.contracts import lease_rollups, rollup_from_base, sales_base, type_leases, type_sales
 from hearthpanel.plans.panel import LEASE_KINDS, build_panel
 from hearthpanel.sources import csv_files as files
-from hearthpanel.sources.sinks import rollup_or_build
+from hearthpanel.sources.sinks import is_complete, read_rollup, rollup_path, write_rollup
 from hearthpanel.sources.specs import ALIASES, INDICATOR_SPECS, read_indicator
 
 
@@ -29,25 +32,43 @@ class SourceConfig:
     contract_encoding: str = "UTF-8"
 
 
-def rollup_builders(spark: SparkSession, config: SourceConfig) -> dict:
-    """How each stored rollup is made from the raw contracts."""
-    builders = {}
+def _lease_kind(base: DataFrame, kind: str) -> DataFrame:
+    rollup = base.filter(F.col("lease_kind") == kind).drop("lease_kind")
+    return rollup.drop("avg_rent") if kind == "deposit_only" else rollup
+
+
+def _families(spark: SparkSession, config: SourceConfig) -> list[tuple[DataFrame, dict[str, Callable[[DataFrame], DataFrame]]]]:
+    """Base aggregates over the raw contracts and the rollups that follow from each."""
+    families = []
     if config.sales:
         sales = type_sales(files.scan_sales(spark, config.sales, encoding=config.contract_encoding))
-        builders["sales"] = lambda: sales_rollup(sales)
-        builders["sales_detail"] = lambda: sales_detail_rollup(sales)
+        rollups = {"sales": rollup_from_base, "sales_detail": lambda base: rollup_from_base(base, detail=True)}
+        families.append((sales_base(sales), rollups))
     if config.leases:
         leases = type_leases(files.scan_leases(spark, config.leases, encoding=config.contract_encoding))
-        for kind in LEASE_KINDS:
-            builders[kind] = lambda kind=kind: lease_rollup(leases, kind=kind)
-    return builders
+        families.append((lease_rollups(leases), {kind: lambda base, kind=kind: _lease_kind(base, kind) for kind in LEASE_KINDS}))
+    return families
 
 
 def load_rollups(spark: SparkSession, config: SourceConfig, *, force_rebuild: bool = False) -> dict[str, DataFrame]:
-    return {
-        name: rollup_or_build(spark, config.rollups, name, build, force_rebuild=force_rebuild)
-        for name, build in rollup_builders(spark, config).items()
-    }
+    """Stored rollups, built first where they are missing or ``force_rebuild`` asks for it.
+
+    New contracts make all rollups stale, so a rebuild renews every one of
+    them. The base aggregate is kept only while its rollups are written: the
+    contracts are scanned once, and a later rebuild sees new files.
+    """
+    stored = {}
+    for base, rollups in _families(spark, config):
+        paths = {name: rollup_path(config.rollups, name) for name in rollups}
+        stale = [name for name in rollups if force_rebuild or not is_complete(spark, paths[name])]
+        if stale:
+            base.persist(StorageLevel.MEMORY_AND_DISK)
+            for name in stale:
+                write_rollup(rollups[name](base), paths[name])
+            base.unpersist()
+        for name, derive in rollups.items():
+            stored[name] = read_rollup(spark, paths[name], derive(base).schema)
+    return stored
 
 
 def load_sources(spark: SparkSession, config: SourceConfig, *, force_rebuild: bool = False) -> dict[str, DataFrame]:

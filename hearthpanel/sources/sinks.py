@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from hearthpanel.sources.csv_files import path_exists
 
@@ -20,28 +19,14 @@ def write_rollup(df: DataFrame, path: str) -> None:
     df.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def _is_complete(spark: SparkSession, path: str) -> bool:
+def is_complete(spark: SparkSession, path: str) -> bool:
     """A rollup counts only once its write has finished."""
     return path_exists(spark, f"{path}/_SUCCESS")
 
 
-def rollup_or_build(
-    spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame], *, force_rebuild: bool = False
-) -> DataFrame:
-    """Read the stored rollup, or build, store and read it.
-
-    The schema comes from the plan, so an empty rollup is readable too.
-    """
-    path = rollup_path(root, name)
-    rollup = build()
-    if force_rebuild or not _is_complete(spark, path):
-        write_rollup(rollup, path)
-    return spark.read.schema(rollup.schema).parquet(path)
-
-
-def invalidate_rollups(spark: SparkSession, root: str, build: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
-    """Rebuild every stored rollup after new contracts arrived, the detail one included."""
-    return {name: rollup_or_build(spark, root, name, make, force_rebuild=True) for name, make in build.items()}
+def read_rollup(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Read with the schema of the plan, so an empty rollup is readable too."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_curated(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:

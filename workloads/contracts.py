@@ -40,6 +40,30 @@ def sales_detail(spark, sf):
     return detail.withColumn("avg_unit_price", r6("avg_unit_price"))
 
 
+@query(
+    "sales_rollup_from_base",
+    f"""WITH {t.SALES_ROLLUP}
+SELECT province, district_code, year, month, ym, avg_price, CAST(deal_count AS BIGINT) AS deal_count,
+  round(avg_unit_price, 6) AS avg_unit_price FROM sales_rollup""",
+)
+def sales_rollup_from_base(spark, sf):
+    base = con.sales_base(t.sales(spark, sf, detail=True))
+    return con.rollup_from_base(base).withColumn("avg_unit_price", r6("avg_unit_price"))
+
+
+@query(
+    "sales_detail_from_base",
+    f"""WITH {t.SALES}
+SELECT province, district_code, year, month, build_year, avg(amount) AS avg_price, count(*) AS deal_count,
+       avg(CASE WHEN year - build_year >= 0 THEN year - build_year END) AS avg_building_age
+FROM sales WHERE amount > 0 AND area > 0 GROUP BY province, district_code, year, month, build_year""",
+)
+def sales_detail_from_base(spark, sf):
+    base = con.sales_base(t.sales(spark, sf, detail=True))
+    out = con.rollup_from_base(base, detail=True)
+    return out.select("province", "district_code", "year", "month", "build_year", "avg_price", "deal_count", "avg_building_age")
+
+
 for _kind in con.LEASE_KINDS:
     _rent = "" if _kind == "deposit_only" else ", avg_rent"
 

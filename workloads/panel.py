@@ -467,8 +467,10 @@ FROM province_year JOIN ev USING (year) GROUP BY province, year, event_type""",
 def event_overlay(spark, sf):
     yearly = agg.province_sales(t.rolled_sales(spark, sf))
     moved = F.year("ts") - 25 + (F.col("event_id") % 7).cast("int") - 4
-    events = t.table(spark, sf, "events").select("event_type", F.make_date(moved, F.lit(1), F.lit(15)).alias("event_date"))
+    stamped = t.table(spark, sf, "events").select("event_type", F.make_date(moved, F.lit(1), F.lit(15)).alias("event_date"))
+    # Counted per type and date before they meet the provinces.
+    events = stamped.groupBy("event_type", "event_date").agg(F.count(F.lit(1)).alias("events"))
     placed = joins.overlay_events(yearly, events, period="year")
     return placed.groupBy("province", "year", "event_type").agg(
-        F.count(F.lit(1)).alias("events"), F.max("deal_count").alias("deal_count")
+        F.sum("events").alias("events"), F.max("deal_count").alias("deal_count")
     )
