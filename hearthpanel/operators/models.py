@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.numeric import nan_to_null, ratio
 from hearthpanel.functions.tails import f_tail, t_tail
+from hearthpanel.operators.joins import materialise
 
 MIN_OBSERVATIONS = 10
 
@@ -129,12 +130,8 @@ def cluster_regions(
 
     Returns the regions with their cluster and the centres in original units.
     """
-    means = (
-        df.dropna(subset=[region])
-        .groupBy(region)
-        .agg(*(F.avg(_double(f)).alias(f) for f in features))
-        .dropna()
-        .persist()
+    means = materialise(
+        df.dropna(subset=[region]).groupBy(region).agg(*(F.avg(_double(f)).alias(f) for f in features)).dropna()
     )
     regions = means.count()
     if regions < k:

@@ -61,3 +61,17 @@ def test_outliers_on_a_hot_group_do_not_shuffle_the_rows(spark):
     scored = stats.detect_outliers(t.sales(spark, SF), "amount")
     text = plan(scored)
     assert "BroadcastHashJoin" in text and "Window" not in text
+
+
+def test_the_named_checkpoint_folder_is_used(spark, tmp_path):
+    from hearthpanel.operators.joins import materialise
+
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path / "shared"))
+    try:
+        assert materialise(spark.range(3)).count() == 3
+        assert any((tmp_path / "shared").rglob("part-*"))
+    finally:
+        if before:
+            context.setCheckpointDir(before)
