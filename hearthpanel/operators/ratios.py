@@ -15,21 +15,24 @@ def _have(df: DataFrame, *names: str) -> bool:
 
 def with_derived_ratios(panel: DataFrame, *, yearly: bool = True) -> DataFrame:
     """Every ratio whose inputs the panel has; a zero divisor gives null."""
+    have = set(panel.columns)
     new = {}
-    if _have(panel, "deposit_only_avg_deposit", "avg_price"):
-        new["deposit_ratio"] = ratio("deposit_only_avg_deposit", "avg_price") * F.lit(100.0)
-    if _have(panel, "household_income", "avg_price"):
+    if {"deposit_only_avg_deposit", "avg_price"} <= have:
+        new["deposit_ratio"] = ratio("deposit_only_avg_deposit", "avg_price", 100)
+    if {"household_income", "avg_price"} <= have:
         new["pir"] = ratio("avg_price", "household_income")
-    if _have(panel, "pension_per_head", "avg_price"):
+    if {"pension_per_head", "avg_price"} <= have:
+        # Monthly KRW per head to yearly 10k KRW.
         new["pir_pension"] = ratio("avg_price", F.col("pension_per_head") * F.lit(12.0) / F.lit(10000.0))
-    if _have(panel, "deal_count", "population"):
-        new["turnover"] = ratio("deal_count", "population") * F.lit(1000.0)
-    if _have(panel, "deposit_only_count", "population"):
-        new["lease_turnover"] = ratio("deposit_only_count", "population") * F.lit(1000.0)
-    if _have(panel, "mortgage_balance", "household_income"):
+    if {"deal_count", "population"} <= have:
+        new["turnover"] = ratio("deal_count", "population", 1000)
+    if {"deposit_only_count", "population"} <= have:
+        new["lease_turnover"] = ratio("deposit_only_count", "population", 1000)
+    if {"mortgage_balance", "household_income"} <= have:
+        # Billion KRW to 10k KRW.
         new["loan_to_income"] = ratio(F.col("mortgage_balance") * F.lit(100000.0), "household_income")
     panel = panel.withColumns(new) if new else panel
-    if yearly and _have(panel, "avg_price"):
+    if yearly and "avg_price" in have:
         panel = pct_change(panel, "avg_price", group="province", order_by="year", name="price_yoy")
     return panel
 

@@ -59,8 +59,8 @@ class _Stack:
         def own(name: str) -> Column:
             return F.col(f"{source}__{name}")
 
-        picked = [F.col(c).alias(f"{source}__{c}") for c in columns]
-        self.frames.append(df.dropna(subset=self.keys).select(*self.keys, F.lit(source).alias("source"), *picked))
+        picked = [f"`{c}` AS `{source}__{c}`" for c in columns]
+        self.frames.append(df.selectExpr(*self.keys, f"'{source}' AS source", *picked))
         present = F.max(F.col("source") == source)
         self.measures += [F.when(present, value).alias(name) for name, value in measures(own).items()]
 
@@ -69,7 +69,7 @@ class _Stack:
         for frame in self.frames[1:]:
             stacked = stacked.unionByName(frame, allowMissingColumns=True)
         in_base = F.max(F.col("source") == base).alias("_in_base")
-        return stacked.groupBy(*self.keys).agg(*self.measures, in_base).filter("_in_base").drop("_in_base")
+        return stacked.dropna(subset=self.keys).groupBy(*self.keys).agg(*self.measures, in_base).filter("_in_base").drop("_in_base")
 
 
 def _mean_by(value: Column, weight: Column) -> Column:

@@ -309,12 +309,12 @@ def read_district_names(spark: SparkSession, path: str, *, encoding: str = "MS94
 
 
 def read_pension(spark: SparkSession, path: str) -> DataFrame:
-    """District pension rollup; the province comes from the file or from the code."""
+    """District pension rollup; a file without provinces gets them from the codes."""
     from hearthpanel.sources.specs import PENSION, read_source
 
     df = read_source(spark, PENSION, path)
     code = pad_code("district_code")
-    province = F.coalesce(short_province("province"), short_province(province_from_code(code)))
+    province = short_province("province" if "province" in df.columns else province_from_code(code))
     return df.withColumns({"district_code": code, "province": province})
 
 

@@ -108,6 +108,15 @@ def test_workplaces(spark, tmp_path):
     assert csv_files.choose_workplace_files(None, ["b2024.csv", "a2019.csv"]) == ["a2019.csv", "b2024.csv"]
 
 
+def test_pension(spark, tmp_path):
+    with_names = write(tmp_path / "a.csv", "지역코드,시도,연도,월,연월,NPS_가입자수\n1110,서울특별시,2020,1,2020-01,5\n", "utf-8-sig")
+    row = csv_files.read_pension(spark, with_names).first()
+    assert (row["district_code"], row["province"], row["pension_subscribers"]) == ("01110", "서울", 5.0)
+    by_code = write(tmp_path / "b.csv", "지역코드,연도,월,연월,NPS_가입자수\n26110,2020,1,2020-01,5\n99999,2020,1,2020-01,5\n")
+    assert {r["province"] for r in csv_files.read_pension(spark, by_code).collect()} == {"부산", None}
+    assert csv_files.read_pension(spark, str(tmp_path / "none.csv")).isEmpty()
+
+
 def test_region_register(spark, tmp_path):
     text = "법정동코드,법정동명,폐지여부\n1111000000,서울특별시 종로구,존재\n1111010100,서울특별시 종로구 청운동,존재\n2611000000,부산광역시 중구,존재\n1100000000,서울특별시,존재\n4111000000,경기도 수원시,폐지\n"
     path = write(tmp_path / "r.csv", text, "cp949")
