@@ -12,6 +12,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Cached tables may be replanned too, so small ones do not keep every shuffle partition.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     # Korean agency exports are MS949 files; the charset must be allowed up front.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.showConsoleProgress": "false",

@@ -1,6 +1,6 @@
 """Incremental loads: high-water marks, resume ledger, load reports.
 
-The reference workload has no event-time streams; new data arrives as landed
+There are no event-time streams; new data arrives as landed
 files. A load appends what is new and then keeps the latest row per key, so
 running it twice leaves the same table.
 """
