@@ -15,7 +15,7 @@ from hearthpanel.llm.tokens import encoder
 
 WINDOW = 4096
 #: Rest pieces that are balanced against each other; groups never leave their task.
-GROUP = 512
+GROUP = 1024
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
