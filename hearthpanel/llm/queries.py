@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthpanel.llm import packing, quality, token_files
+from hearthpanel.llm import attribution, packing, quality, token_files, url_filter
 from hearthpanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,16 @@ def packed(docs: DataFrame) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, sections = attribution.record_sections(F.col("source"), F.col("lang"), F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), sections.alias("sections"))
+    counted = attribution.attribute(docs)
+    return counted.select("doc_id", "section", F.col("tokens").cast("long").alias("tokens"), "crossing", "doc_tokens")
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
