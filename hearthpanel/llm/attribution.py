@@ -86,7 +86,7 @@ def attribute(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", rule: st
         for piece in chunks(batches):
             data, offsets = flat_bytes(piece.column("text"))
             rows: list[tuple] = []
-            for i, (ids, sections) in enumerate(zip(encoder(tokenizer).encode(piece.column("text").to_pylist()), piece.column("sections").to_pylist())):
+            for i, (ids, sections) in enumerate(zip(encoder(tokenizer).encode(piece.column("text")), piece.column("sections").to_pylist())):
                 ids = np.frombuffer(ids, "<u4")
                 text = data[offsets[i] : offsets[i + 1]]
                 first = np.array([s["first"] for s in sections or ()], np.int64)

@@ -102,7 +102,7 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", end_id: int =
 
         for piece in chunks(batches):
             rows = []
-            for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder(tokenizer).encode(piece.column("text").to_pylist())):
+            for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder(tokenizer).encode(piece.column("text"))):
                 ids += end
                 total = len(ids) // 4
                 cut = total // window * window

@@ -150,7 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int) -
         with files.open_output_stream(f"{root}/.{name}", compression=None) as sink:
             out = Writer(sink)
             for piece in itertools.chain([head], pieces):
-                ids = encoder(tokenizer).encode(piece.column("text").to_pylist())
+                ids = encoder(tokenizer).encode(piece.column("text"))
                 for doc, row in zip(piece.column("doc_id").to_pylist(), ids):
                     out.add(doc, row + end)
             out.close()

@@ -9,19 +9,22 @@ its ids are looked up afterwards. Any other text goes to the library whole.
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Sequence
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from hearthpanel.llm.common import flat_bytes
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
 
-# Letters, digits, signs and white space that every Unicode version treats alike and no normal form changes.
-OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-§©«¬®°±¶»¿-ÿŒœ]")
-# Runs of white space in which the byte-level pattern looks ahead.
-SPACED = re.compile(r"[\t\r]| [ \n]|\n |\n\n\n|[ \n]\Z|\A[ \n]")
+# Bytes of plain texts: printable ASCII, line ends, and the two-byte letters from U+00C0 to U+00FF. Every Unicode
+# version treats these alike and no normal form changes them.
+PLAIN = np.zeros(256, bool)
+PLAIN[[0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = True
+GAP = np.zeros(256, bool)
+GAP[[0x0A, 0x20]] = True
 #: Pieces remembered in each of two generations, about 100 MB a worker.
 REMEMBERED = 400_000
 
@@ -34,17 +37,26 @@ class Encoder:
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def _cut(self, text: str | None) -> list[str] | None:
-        """Pieces that can be encoded alone; nothing if the text has to stay whole."""
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may be cut: plain characters only and no white space that the byte-level pattern looks ahead over."""
+        odd = [np.flatnonzero(~PLAIN[data])]
+        if not self.words and len(data):
+            gap = GAP[data]
+            pair = np.flatnonzero(gap[1:] & gap[:-1])
+            line = data[pair] + data[pair + 1] == 20
+            third = np.minimum(pair + 2, len(data) - 1)
+            odd.append(pair[~line | gap[third]])
+            full = offsets[1:] > offsets[:-1]
+            edges = np.concatenate([offsets[:-1][full], offsets[1:][full] - 1])
+            odd.append(edges[gap[edges]])
+        plain = np.ones(len(offsets) - 1, bool)
+        plain[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = False
+        return plain
+
+    def _cut(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if OTHER.search(text):
-            return None
-        if self.words:
-            return text.lower().split()
-        if SPACED.search(text):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return text.lower().split() if self.words else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode many pieces as one text and share its ids out by where they start."""
@@ -79,13 +91,15 @@ class Encoder:
         self.new.update(kept)
         return self.new
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [self._cut(text) for text in texts]
-        known = self._known(set().union(*(p for p in cut if p is not None)))
-        rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, cut) if p is None], add_special_tokens=False)
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text of a column as little-endian unsigned 32-bit integers; null counts as empty."""
+        plain = self._plain(*flat_bytes(column)).tolist()
+        texts = column.to_pylist()
+        cut = [self._cut(t) if p else None for t, p in zip(texts, plain)]
+        known = self._known(set().union(*filter(None, cut)))
+        rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         whole = (np.array(e.ids, "<u4").tobytes() for e in rest)
-        return [next(whole) if p is None else b"".join([known[x] for x in p]) for p in cut]
+        return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
