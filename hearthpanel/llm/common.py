@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -76,3 +77,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+def gathered(key: np.ndarray, doc: np.ndarray, name: str) -> pa.RecordBatch:
+    """One row for each distinct key with the distinct documents that have it: what a task sends of a frequent key."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[fresh], doc[fresh]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)), pa.int32()), pa.array(doc, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(key[heads].view(np.int64)), lists], [name, "docs"])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthpanel.llm.common import chunks, flat_bytes, mixed, store
+from hearthpanel.llm.common import chunks, flat_bytes, gathered, mixed, store
 from hearthpanel.llm.components import components
 from hearthpanel.llm.textbytes import LOWER, Hashes, words
 
@@ -179,13 +179,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame
                 continue
             gram = np.concatenate([g for _, g in found])
             owner = np.repeat([d for d, _ in found], [len(g) for _, g in found])
-            order = np.lexsort((owner, gram))
-            gram, owner = gram[order], owner[order]
-            fresh = np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))
-            gram, owner = gram[fresh], owner[fresh]
-            heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(gram)), pa.int32()), pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[heads].view(np.int64)), lists], ["gram", "docs"])
+            yield gathered(gram, owner, "gram")
 
     placed = texts.filter("doc_id is not null")
     postings = placed.join(classes, "doc_id").select("doc_id", "text", "k1", "k2").mapInArrow(prefixes, "gram long, docs array<long>")
