@@ -179,20 +179,20 @@ def held_out(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 1, F.lit(False))
 
 
-def score_documents(docs: DataFrame, field: Field, *, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) of every document, and its score from 0 to 1.
+def score_documents(docs: DataFrame, field: Field, *, keep: list[str] | None = None, score: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id) of every document, and its score from 0 to 1 under the name ``score``.
 
     One narrow pass over whole texts. Null and empty texts, and those of white
     space only, get the share of good documents; every row, repeated or with a
     null id, gets its own score; an empty table gives none.
     """
     keep = keep or ["doc_id"]
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
-            score = field.score(*flat_bytes(piece.column("text")))
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+            scores = field.score(*flat_bytes(piece.column("text")))
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(scores)], [*keep, score])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
