@@ -11,23 +11,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthpanel.llm.common import chunks, flat_bytes, gathered, mixed, release, store
+from hearthpanel.llm.common import chunks, flat_bytes, mixed, release, store
 from hearthpanel.llm.textbytes import Hashes
 
 #: Bytes of the initial buckets.
 Q = 16
+#: Neighbouring string starts that the second refinement takes together.
+RUN = 8
 SPANS = "doc_id long, text_sha256 string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"
 
 
 class Suffixes(NamedTuple):
-    """Sampled suffixes of a run of texts: each stands for the string starts ``low`` to ``high`` around it."""
+    """Sampled suffixes of a run of texts: each stands for the string starts ``low`` to ``high`` around it.
+
+    ``bucket`` names its first Q bytes, ``context`` all bytes of the strings it
+    stands for; ``first``, ``two`` and ``string`` name, at each byte offset, the
+    Q bytes, 2Q bytes and string of full length that begin there.
+    """
 
     row: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    bucket: np.ndarray  # its first Q bytes
-    context: np.ndarray  # all bytes of the strings it stands for
-    string: np.ndarray  # at each byte offset: the string of full length that starts there
+    bucket: np.ndarray
+    context: np.ndarray
+    first: np.ndarray
+    two: np.ndarray
+    string: np.ndarray
+
+    def runs(self, which: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """String starts of some suffixes in runs of up to RUN, counted back from the suffix.
+
+        Returns for each run the position of its suffix in ``which``, its
+        first and last start, the name of the bytes that all strings of a run
+        at this place share, and the name of all its bytes.
+        """
+        low, high = self.low[which], self.high[which]
+        at = np.full(len(low), -1)
+        for k in range(length - Q + 1):
+            here = low + k
+            new = (at < 0) & (self.first[np.minimum(here, len(self.first) - 1)] == self.bucket[which])
+            at[new] = here[new]
+        near, far = (at - high) // RUN, (at - low) // RUN
+        step, owner = _inside(near, far)
+        core = at[owner] - RUN * step
+        begin, end = np.maximum(low[owner], core - RUN + 1), np.minimum(high[owner], core)
+        shared = mixed(self.two[core] + mixed(self.first[core + length - RUN + 1 - Q]) * np.uint64(11))
+        whole = mixed(self.string[begin] + mixed(self.string[end]) * np.uint64(13) + (end - begin).astype(np.uint64))
+        return owner, begin, end, shared, whole
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> Suffixes:
@@ -40,11 +70,9 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> Suffixes:
     """
     if length < 3 * Q or length > 4 * Q:
         raise ValueError(f"length must be from {3 * Q} to {4 * Q}")
-    empty = np.zeros(0, np.int64)
-    none = Suffixes(empty, empty, empty, *[np.zeros(0, np.uint64)] * 3)
     size = offsets[1:] - offsets[:-1]
     if len(data) < length or not (size >= length).any():
-        return none
+        return Suffixes(*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 5)
     first = mixed(Hashes(data).grams(Q))
     n = len(data) - length + 1
     two = mixed(first[: len(first) - Q] + mixed(first[Q:]))
@@ -60,18 +88,55 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> Suffixes:
     starts = np.zeros(len(data) + 1, np.int64)
     np.add.at(starts, offsets[:-1][long], 1)
     np.add.at(starts, offsets[1:][long] - length + 1, -1)
+    # Starts of strings that lie in one text; those of two texts are never next to each other.
     at = np.flatnonzero(np.cumsum(starts)[:n])
     head = np.ones(len(at), bool)
     head[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (first[at[:-1]] == least[at[:-1]])
     edge = np.flatnonzero(head)
-    # A string start right after the last one of a text may open the next text.
-    row = np.searchsorted(offsets, at[edge], side="right") - 1
     low, high = at[edge], at[np.append(edge[1:], len(at)) - 1]
-    split = np.searchsorted(offsets, high, side="right") - 1 != row
-    if split.any():
-        raise AssertionError("a suffix reaches over the end of its text")
+    row = np.searchsorted(offsets, low, side="right") - 1
     context = mixed(string[low] + mixed(string[high]) * np.uint64(7) + (high - low).astype(np.uint64))
-    return Suffixes(row, low, high, least[low], context, string)
+    return Suffixes(row, low, high, least[low], context, first, two, string)
+
+
+def _sent(core: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """One row for each distinct pair of names: its smallest document, and the others of this piece if there are any."""
+    order = np.lexsort((doc, whole, core))
+    core, whole, doc = core[order], whole[order], doc[order]
+    pair = np.ones(len(core), bool)
+    pair[1:] = (core[1:] != core[:-1]) | (whole[1:] != whole[:-1])
+    fresh = pair.copy()
+    fresh[1:] |= doc[1:] != doc[:-1]
+    core, whole, doc, pair = core[fresh], whole[fresh], doc[fresh], pair[fresh]
+    heads = np.flatnonzero(pair)
+    others = np.diff(np.append(heads, len(core))) - 1
+    ends = np.concatenate([[0], np.cumsum(others)])
+    more = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(doc[~pair], pa.int64()), mask=pa.array(others == 0))
+    return pa.RecordBatch.from_arrays([pa.array(core[heads].view(np.int64)), pa.array(whole[heads].view(np.int64)), pa.array(doc[heads], pa.int64()), more], ["core", "whole", "doc", "more"])
+
+
+SENT = "core long, whole long, doc long, more array<long>"
+
+
+def _refined(sent: DataFrame) -> DataFrame:
+    """doc_id, name, and whether a smaller document has all of the name's bytes (``done``) or others share only its core.
+
+    Documents and names of which neither holds are gone. Of documents with the
+    same bytes, only the smallest is looked at further.
+    """
+    same, bucket = Window.partitionBy("core", "whole"), Window.partitionBy("core")
+    # Dealt by the core alone, the rows serve both windows without a second exchange.
+    seen = sent.repartition("core").withColumn("least", F.min("doc").over(same))
+    seen = seen.withColumns({"low": F.min("least").over(bucket), "top": F.max("least").over(bucket)})
+    copies = F.coalesce(F.filter("more", lambda d: d > F.col("least")), F.array().cast("array<long>"))
+    done = F.concat(F.when(F.col("doc") > F.col("least"), F.array("doc")).otherwise(F.array().cast("array<long>")), copies)
+    open_ = F.when((F.col("doc") == F.col("least")) & (F.col("low") < F.col("top")), F.array(F.struct(F.col("doc").alias("doc_id"), F.lit(False).alias("done"))))
+    told = F.concat(F.transform(done, lambda d: F.struct(d.alias("doc_id"), F.lit(True).alias("done"))), F.coalesce(open_, F.array().cast("array<struct<doc_id:long,done:boolean>>")))
+    return seen.select(F.col("whole").alias("name"), F.explode(told).alias("t")).select("t.doc_id", "name", "t.done")
+
+
+def _by_document(refined: DataFrame, done: str, open_: str) -> DataFrame:
+    return refined.groupBy("doc_id").agg(F.collect_list(F.when(F.col("done"), F.col("name"))).alias(done), F.collect_list(F.when(~F.col("done"), F.col("name"))).alias(open_))
 
 
 def _rows(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +167,18 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     the input texts; matches never cross documents.
 
     1. Every string is stood for by one sampled suffix (about one in 18). The
-       first ``Q`` bytes are its initial bucket; a bucket of one document
-       holds nothing that repeats.
-    2. In the other buckets, suffixes are refined by the names at later
-       offsets, to all bytes of the strings they stand for. Where such a
-       context occurs in a smaller document, all its strings do.
-    3. Only where a bucket keeps several contexts, the smallest document of
-       each is refined once more, to single strings.
+       first ``Q`` bytes are its initial bucket. Inside a bucket, suffixes are
+       refined by the names at later offsets, to all bytes of the strings they
+       stand for. Where a smaller document has the same bytes, all these
+       strings repeat; of equal bytes only the smallest document goes on.
+    2. Where a bucket keeps several, the string starts are refined in runs:
+       what all strings of a run share is the next bucket.
+    3. Where that keeps several too, single strings are compared.
     4. What was found goes back to the documents by name, not by place.
 
     Copies of a smaller document are removed whole after a comparison of
-    hashes and enter only the first step. A frequent bucket, context or string arrives as one row per
-    piece of a task. Nothing is capped: a name is followed however often it
-    occurs. Names are 64-bit hashes.
+    hashes. A frequent name arrives as one row per piece of a task. Nothing is
+    capped: a name is followed however often it occurs. Names are 64-bit hashes.
 
     A null text is empty; texts shorter than ``length`` stay. A null doc_id is
     not smaller than any, so its row stays and takes nothing from others. Rows
@@ -132,38 +196,41 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     lasting = every.filter(f"n_bytes >= {length} and doc_id = original").select("doc_id").distinct()
     placed = texts.filter("doc_id is not null")
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             found = sampled(*flat_bytes(piece.column("text")), length)
-            yield gathered(found.bucket, piece.column("doc_id").to_numpy()[found.row], "name")
+            yield _sent(found.bucket, found.context, piece.column("doc_id").to_numpy()[found.row])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             found = sampled(*flat_bytes(piece.column("text")), length)
-            keep = _listed(found.row, found.bucket, piece.column("names"))
-            context, bucket = found.context[keep], found.bucket[keep]
-            batch = gathered(context, piece.column("doc_id").to_numpy()[found.row[keep]], "name")
-            _, at = np.unique(context.view(np.int64), return_index=True)
-            of = dict(zip(context[at].view(np.int64).tolist(), bucket[at].view(np.int64).tolist()))
-            yield batch.append_column("bucket", pa.array([of[x] for x in batch.column("name").to_pylist()], pa.int64()))
+            which = np.flatnonzero(_listed(found.row, found.context, piece.column("contexts")))
+            owner, _, _, core, whole = found.runs(which, length)
+            yield _sent(core, whole, piece.column("doc_id").to_numpy()[found.row[which[owner]]])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             found = sampled(*flat_bytes(piece.column("text")), length)
-            keep = _listed(found.row, found.context, piece.column("names"))
-            at, owner = _inside(found.low[keep], found.high[keep])
-            yield gathered(found.string[at], piece.column("doc_id").to_numpy()[found.row[keep][owner]], "name")
+            which = np.flatnonzero(_listed(found.row, found.context, piece.column("contexts")))
+            owner, begin, end, _, whole = found.runs(which, length)
+            keep = _listed(found.row[which[owner]], whole, piece.column("runs"))
+            at, of = _inside(begin[keep], end[keep])
+            yield _sent(found.string[at], found.string[at], piece.column("doc_id").to_numpy()[found.row[which[owner[keep][of]]]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             data, offsets = flat_bytes(piece.column("text"))
             found = sampled(data, offsets, length)
-            whole = _listed(found.row, found.context, piece.column("contexts"))
-            rest, owner = _inside(found.low[~whole], found.high[~whole])
-            single = rest[_listed(found.row[~whole][owner], found.string[rest], piece.column("strings"))]
+            whole = _listed(found.row, found.context, piece.column("whole"))
+            rest = np.flatnonzero(~whole)
+            owner, begin, end, _, name = found.runs(rest, length)
+            row = found.row[rest[owner]]
+            run = _listed(row, name, piece.column("whole_runs"))
+            at, of = _inside(begin[~run], end[~run])
+            single = at[_listed(row[~run][of], found.string[at], piece.column("strings"))]
             change = np.zeros(len(data) + 1, np.int64)
-            np.add.at(change, np.concatenate([found.low[whole], single]), 1)
-            np.add.at(change, np.concatenate([found.high[whole], single]) + length, -1)
+            np.add.at(change, np.concatenate([found.low[whole], begin[run], single]), 1)
+            np.add.at(change, np.concatenate([found.high[whole], end[run], single]) + length, -1)
             gone = np.cumsum(change)[:-1] > 0
             raw = data.tobytes()
             rows = []
@@ -179,23 +246,20 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
             names = ["doc_id", "text_sha256", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
-    over = Window.partitionBy("name")
-    lowest = F.min(F.array_min("docs")).over(over)
-    highest = F.max(F.array_max("docs")).over(over)
-    first = placed.mapInArrow(buckets, "name long, docs array<long>").withColumns({"lowest": lowest, "highest": highest}).filter("lowest < highest")
-    wanted = first.select(F.explode("docs").alias("doc_id"), "name").join(lasting, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    second = store(placed.join(wanted, "doc_id").mapInArrow(contexts, "name long, docs array<long>, bucket long"), "suffix-contexts")
+    first = _refined(placed.mapInArrow(contexts, SENT)).join(lasting, "doc_id", "left_semi")
+    first = store(_by_document(first, "whole", "contexts"), "suffix-contexts")
     release(spark)
-
-    known = second.withColumn("lowest", lowest)
-    whole = known.select("name", F.explode("docs").alias("doc_id"), "lowest").filter("doc_id > lowest")
-    whole = store(whole.groupBy("doc_id").agg(F.collect_list("name").alias("contexts")), "suffix-whole")
-    each = second.groupBy("name", "bucket").agg(F.min(F.array_min("docs")).alias("doc_id"))
-    several = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).filter("n > 1 and low < top")
-    open_ = each.join(several, "bucket", "left_semi").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    third = placed.join(open_, "doc_id").mapInArrow(strings, "name long, docs array<long>").withColumn("lowest", lowest)
-    single = third.select("name", F.explode("docs").alias("doc_id"), "lowest").filter("doc_id > lowest").groupBy("doc_id").agg(F.collect_list("name").alias("strings"))
-    found = placed.join(whole.join(single, "doc_id", "full"), "doc_id").select("doc_id", "text", "contexts", "strings")
+    asked = first.filter(F.size("contexts") > 0).select("doc_id", "contexts")
+    second = _by_document(_refined(placed.join(asked, "doc_id").select("doc_id", "text", "contexts").mapInArrow(runs, SENT)), "whole_runs", "runs")
+    second = store(second, "suffix-runs")
+    release(spark)
+    asked = asked.join(second.filter(F.size("runs") > 0).select("doc_id", "runs"), "doc_id")
+    third = _refined(placed.join(asked, "doc_id").select("doc_id", "text", "contexts", "runs").mapInArrow(strings, SENT)).filter("done")
+    third = store(third.groupBy("doc_id").agg(F.collect_list("name").alias("strings")), "suffix-strings")
+    release(spark)
+    told = first.select("doc_id", "whole").join(second.select("doc_id", "whole_runs"), "doc_id", "left").join(third, "doc_id", "left")
+    told = told.filter("size(whole) > 0 or size(whole_runs) > 0 or strings is not null")
+    found = placed.join(told, "doc_id").select("doc_id", "text", "whole", "whole_runs", "strings")
     spans = found.mapInArrow(remove, SPANS).dropDuplicates(["doc_id", "text_sha256"])
 
     cut = every.join(spans.drop("n_bytes"), ["doc_id", "text_sha256"], "left")
