@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthpanel.llm import attribution, decontaminate, hilbert, jaccard, packing, quality, suffixes, token_files, url_filter
+from hearthpanel.llm import attribution, decontaminate, hilbert, jaccard, language_model, packing, quality, suffixes, token_files, url_filter
 from hearthpanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
