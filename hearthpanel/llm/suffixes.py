@@ -18,6 +18,8 @@ from hearthpanel.llm.textbytes import Hashes
 Q = 16
 #: Neighbouring string starts that the second refinement takes together.
 RUN = 8
+#: Bytes of text that a task names at a time; the names take about 100 times that.
+PIECE = 1 << 20
 SPANS = "doc_id long, text_sha256 string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"
 
 
@@ -197,19 +199,19 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     placed = texts.filter("doc_id is not null")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
+        for piece in chunks(batches, limit=PIECE):
             found = sampled(*flat_bytes(piece.column("text")), length)
             yield _sent(found.bucket, found.context, piece.column("doc_id").to_numpy()[found.row])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
+        for piece in chunks(batches, limit=PIECE):
             found = sampled(*flat_bytes(piece.column("text")), length)
             which = np.flatnonzero(_listed(found.row, found.context, piece.column("contexts")))
             owner, _, _, core, whole = found.runs(which, length)
             yield _sent(core, whole, piece.column("doc_id").to_numpy()[found.row[which[owner]]])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
+        for piece in chunks(batches, limit=PIECE):
             found = sampled(*flat_bytes(piece.column("text")), length)
             which = np.flatnonzero(_listed(found.row, found.context, piece.column("contexts")))
             owner, begin, end, _, whole = found.runs(which, length)
@@ -218,7 +220,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
             yield _sent(found.string[at], found.string[at], piece.column("doc_id").to_numpy()[found.row[which[owner[keep][of]]]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
+        for piece in chunks(batches, limit=PIECE):
             data, offsets = flat_bytes(piece.column("text"))
             found = sampled(data, offsets, length)
             whole = _listed(found.row, found.context, piece.column("whole"))
@@ -292,7 +294,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches):
+        for piece in chunks(batches, limit=PIECE):
             out = []
             for text, spans in zip(piece.column("text").to_pylist(), piece.column("_spans").to_pylist()):
                 if spans:
