@@ -20,13 +20,18 @@ SALE_KEYS = ["province", "district_code", "year", "month"]
 LEASE_KINDS = ("deposit_only", "monthly_rent", "all_leases")
 
 
+def _whole(name: str) -> Column:
+    """A period part such as ``2020`` or ``2020.0``."""
+    return F.col(name).try_cast("double").try_cast("int").alias(name)
+
+
 def type_sales(raw: DataFrame) -> DataFrame:
     """Typed sale contracts from the all-text landing columns."""
     return raw.select(
         pad_code("district_code").alias("district_code"),
         short_province(province_from_code("district_code")).alias("province"),
-        F.col("year").try_cast("int").alias("year"),
-        F.col("month").try_cast("int").alias("month"),
+        _whole("year"),
+        _whole("month"),
         clean_double("area").alias("area"),
         F.col("build_year").try_cast("double").cast("int").alias("build_year"),
         clean_amount("amount").alias("amount"),
@@ -38,8 +43,8 @@ def type_leases(raw: DataFrame) -> DataFrame:
     return raw.select(
         pad_code("district_code").alias("district_code"),
         short_province(province_from_code("district_code")).alias("province"),
-        F.col("year").try_cast("int").alias("year"),
-        F.col("month").try_cast("int").alias("month"),
+        _whole("year"),
+        _whole("month"),
         clean_double("area").alias("area"),
         clean_amount("deposit").alias("deposit"),
         F.coalesce(clean_double("rent"), F.lit(0.0)).alias("rent"),

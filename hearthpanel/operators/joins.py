@@ -1,55 +1,10 @@
-"""Joins onto the region panel, with the broadcast decided by a measured size."""
+"""Joins onto the region panel; the optimizer and AQE broadcast a side by its size."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side with at most this many rows may be broadcast; region-period tables of
-# the domain stay far below it.
-BROADCAST_ROWS = 100_000
-
-
-def _checkpoint_dir_ready(df: DataFrame) -> bool:
-    """Use the folder the session names; make one only for a local run without it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is not None:
-        return True
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="hearthpanel-checkpoint-")
-    if folder is None:
-        return False
-    context.setCheckpointDir(folder)
-    return True
-
-
-def materialise(small: DataFrame) -> DataFrame:
-    """Compute a small table once for several uses.
-
-    It goes to the shared checkpoint folder, so it outlives lost executors and
-    no later run over changed files can pick up an old copy. A cluster that
-    names no such folder keeps it cached.
-    """
-    if _checkpoint_dir_ready(small):
-        return small.checkpoint()
-    return small.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after counting it.
-
-    The side is materialised first, so an aggregate behind it runs once. Above
-    the bound it comes back without a hint and the join shuffles, with AQE
-    splitting hot keys.
-    """
-    kept = materialise(small)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
-
 def join_indicator(
     panel: DataFrame,
     table: DataFrame,

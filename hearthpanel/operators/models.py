@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.numeric import nan_to_null, ratio
 from hearthpanel.functions.tails import f_tail, t_tail
-from hearthpanel.operators.joins import materialise
 
 MIN_OBSERVATIONS = 10
 
@@ -53,10 +52,14 @@ def _solve_ols(frames, columns: list[str]):
             cov[np.triu_indices(k + 1)] = row.covariances
             cov = np.triu(cov) + np.triu(cov, 1).T
             syy, sxy, sxx = cov[0, 0], cov[0, 1:], cov[1:, 1:]
-            inverse = np.linalg.pinv(sxx)
+            # Solved as a correlation matrix: regressors of unlike scale weigh alike in the rank and the inverse.
+            scale = np.sqrt(np.diag(sxx))
+            scale[scale == 0] = 1.0
+            scaled = sxx / np.outer(scale, scale)
+            inverse = np.linalg.pinv(scaled, hermitian=True) / np.outer(scale, scale)
             slopes = inverse @ sxy
             intercept = means[0] - slopes @ means[1:]
-            df_resid = n - 1 - int(np.linalg.matrix_rank(sxx))
+            df_resid = n - 1 - int(np.linalg.matrix_rank(scaled, hermitian=True))
             sse = max((n - 1) * (syy - slopes @ sxy), 0.0)
             r2 = 1 - sse / ((n - 1) * syy) if syy > 0 else np.nan
             variance = sse / df_resid
@@ -130,11 +133,11 @@ def cluster_regions(
 
     Returns the regions with their cluster and the centres in original units.
     """
-    means = materialise(
-        df.dropna(subset=[region]).groupBy(region).agg(*(F.avg(_double(f)).alias(f) for f in features)).dropna()
-    )
+    means = df.dropna(subset=[region]).groupBy(region).agg(*(F.avg(_double(f)).alias(f) for f in features)).dropna()
+    means = means.persist()  # one row per region, read by every fit
     regions = means.count()
     if regions < k:
+        means.unpersist()
         raise ValueError(f"{regions} regions cannot form {k} clusters")
     vectors = VectorAssembler(inputCols=features, outputCol="raw").transform(means)
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
@@ -183,6 +186,9 @@ def granger_f(y: np.ndarray, x: np.ndarray, lag: int) -> tuple[float, int]:
     full, rank = _ssr(y[lag:], np.hstack([own, other, one]))
     if rank < 2 * lag + 1:
         raise np.linalg.LinAlgError("lags are collinear")
+    target = y[lag:] - y[lag:].mean()
+    if full <= np.finfo(float).eps * float(target @ target):
+        raise np.linalg.LinAlgError("the fit is perfect, so the statistic is undefined")
     df2 = rows - 2 * lag - 1
     return ((restricted - full) / lag) / (full / df2), df2
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from hearthpanel.functions.numeric import nan_to_null
+
 KEY_COLUMNS = ("province", "district_code", "year", "month", "ym")
 
 
@@ -109,13 +111,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def usable_variables(df: DataFrame) -> DataFrame:
     """Numeric variables with at least one value, all counted in one pass."""
     names = numeric_columns(df)
-    counts = df.agg(*(F.count(c).alias(c) for c in names))
+    counts = df.agg(*(F.count(nan_to_null(F.col(c).cast("double"))).alias(c) for c in names))
     return counts.unpivot([], names, "variable", "value_count").filter(F.col("value_count") > 0)
 
 
-def first_available(df: DataFrame, candidates: list[str]) -> str | None:
-    """First candidate the table has; decided from the schema."""
-    return next((c for c in candidates if c in df.columns), None)
+def first_available(df: DataFrame, candidates: list[str], usable: list[str] | None = None) -> str | None:
+    """First candidate the table has, and with ``usable`` (the names of ``usable_variables``) one that has a value."""
+    return next((c for c in candidates if c in df.columns and (usable is None or c in usable)), None)
 
 
 def latest_period(df: DataFrame, column: str = "year") -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearthpanel.functions.numeric import annuity_present_value, clamp, half_even, ratio
-from hearthpanel.operators.joins import materialise
 from hearthpanel.operators.scope import first_available, nearest_year
 from hearthpanel.operators.windows import minmax_table, with_table_stats, zscore
 
@@ -373,7 +372,6 @@ def match_income(power: DataFrame, grades: DataFrame, *, price: str = "avg_price
         .groupBy(band.alias("band"))
         .agg(F.median("purchasing_power").alias("power"))
     )
-    bands = materialise(bands)  # ten rows, read twice
     offers = bands.select(F.collect_list(F.struct("band", "power"))).scalar()
     offer = F.struct(
         F.col("grade").alias("grade"), F.col("district_name").alias("name"), F.col(price).cast("double").alias("price")

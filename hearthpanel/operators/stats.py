@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from hearthpanel.functions.numeric import half_even, nan_to_null, ratio
 from hearthpanel.functions.tails import correlation_pvalue
-from hearthpanel.operators.joins import broadcast_if_small
 
 MIN_PAIRS = 3
 
@@ -116,16 +115,16 @@ def rolling_correlation(df: DataFrame, x: str, y: str, *, window: int = 12, orde
 # around a quantile is four times as wide on both sides.
 SKETCH_ACCURACY = 100_000
 BRACKET = 4 / SKETCH_ACCURACY
-# Groups up to this size keep all their distinct values in the bracket.
-WHOLE_GROUP_ROWS = 200_000
 
 
 def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[float]) -> DataFrame:
     """Exact interpolated quantiles per group, for groups of any size.
 
     A sketch brackets each quantile, then one count per distinct value inside
-    the brackets, and one count for each stretch outside them, is enough to
-    read off the exact order statistics. No task holds a whole group.
+    the brackets, and one count for each stretch outside them with its smallest
+    and largest value, is enough to read off the exact order statistics, in a
+    group of any size. A rank inside a stretch would mean that the sketch broke
+    its bound and raises an error. No task holds a whole group.
     """
     values = df.select(*group, _double(col).alias("v")).dropna()
     marks = [m for p in probs for m in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
@@ -135,13 +134,12 @@ def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[fl
         F.max("v").alias("high"),
         F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("marks"),
     )
-    whole = F.col("n") <= WHOLE_GROUP_ROWS
     bounds = []
     for i, p in enumerate(probs):
-        low = F.when(whole | F.lit(p - BRACKET <= 0), F.col("low")).otherwise(F.col("marks")[2 * i])
-        high = F.when(whole | F.lit(p + BRACKET >= 1), F.col("high")).otherwise(F.col("marks")[2 * i + 1])
+        low = F.when(F.lit(p - BRACKET <= 0), F.col("low")).otherwise(F.col("marks")[2 * i])
+        high = F.when(F.lit(p + BRACKET >= 1), F.col("high")).otherwise(F.col("marks")[2 * i + 1])
         bounds += [low.alias(f"lo{i}"), high.alias(f"hi{i}")]
-    placed = values.join(broadcast_if_small(edges.select(*group, "n", *bounds)), group)
+    placed = values.join(edges.select(*group, "n", *bounds), group)
 
     v = F.col("v")
     inside, stretch = F.lit(False), F.lit(0)
@@ -149,22 +147,25 @@ def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[fl
         inside = inside | v.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
         stretch = stretch + (v >= F.col(f"lo{i}")).cast("int") + (v > F.col(f"hi{i}")).cast("int")
     counted = (
-        placed.select(*group, "n", stretch.alias("stretch"), F.when(inside, v).alias("v"))
+        placed.select(*group, "n", stretch.alias("stretch"), F.when(inside, v).alias("v"), v.alias("any"))
         .groupBy(*group, "n", "stretch", "v")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("any").alias("least"), F.max("any").alias("most"))
     )
     upto = Window.partitionBy(*group).orderBy("stretch", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("rank", F.sum("copies").over(upto))
 
+    def at(rank: Column) -> Column:
+        """The value of a rank: in a bracket exactly, at either end of a stretch by its smallest or largest value."""
+        lost = F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")
+        value = F.coalesce(v, F.when(rank == F.col("rank"), F.col("most")), F.when(rank == F.col("rank") - F.col("copies") + 1, F.col("least")), lost)
+        return F.max(F.when((rank <= F.col("rank")) & (rank > F.col("rank") - F.col("copies")), value))
+
     picks = []
     for i, p in enumerate(probs):
         place = (F.col("n") - 1) * F.lit(float(p))
         lower = F.floor(place) + 1
         upper = F.least(lower + 1, F.col("n"))
-        picks += [
-            F.min(F.when(F.col("rank") >= lower, v)).alias(f"a{i}"),
-            F.min(F.when(F.col("rank") >= upper, v)).alias(f"b{i}"),
-        ]
+        picks += [at(lower).alias(f"a{i}"), at(upper).alias(f"b{i}")]
     quantiles = [
         (
             F.col(f"a{i}")
@@ -204,7 +205,7 @@ def detect_outliers(
         stats = stats.join(
             fences.select(group, (F.col("q0") - width).alias("_low"), (F.col("q1") + width).alias("_high")), group
         )
-    scored = df.join(broadcast_if_small(stats), group, "left")
+    scored = df.join(stats, group, "left")
     z = F.when(F.col("_spread") == 0, F.when(value.isNotNull(), F.lit(0.0))).otherwise(
         ratio(value - F.col("_mean"), "_spread")
     )

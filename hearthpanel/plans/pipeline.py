@@ -29,7 +29,7 @@ class SourceConfig:
     age_population: str | None = None
     pension: str | None = None
     indicators: dict[str, str] = field(default_factory=dict)
-    contract_encoding: str = "UTF-8"
+    contract_encoding: str | None = None  # found for each file
 
 
 def _lease_kind(base: DataFrame, kind: str) -> DataFrame:

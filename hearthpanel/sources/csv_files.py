@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,7 @@ from hearthpanel.functions.regions import NATIONWIDE, province_from_code, short_
 from hearthpanel.operators.reshape import keep_first, union_all
 
 # Encodings tried in order, by their JVM names.
-ENCODINGS = ("UTF-8", "MS949", "EUC-KR")
+ENCODINGS = ("UTF-8", "MS949")
 
 # Header names of the raw contract files.
 SALE_COLUMNS = {
@@ -87,13 +88,47 @@ def _renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
-def scan_sales(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF-8") -> DataFrame:
-    """Raw sale contracts, the used columns only, still as text."""
-    return _renamed(read_csv_any(spark, path, encoding=encoding), SALE_COLUMNS)
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files behind paths, folders and patterns; only their names are read."""
+    return sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
 
 
-def scan_leases(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF-8") -> DataFrame:
-    return _renamed(read_csv_any(spark, path, encoding=encoding), LEASE_COLUMNS)
+def _head(spark: SparkSession, path: str, encoding: str | None) -> tuple[str, tuple[str, ...]]:
+    """Encoding and column names of one file, from its first line: Korean headers tell the encodings apart."""
+    row = spark.read.text(path).select(F.col("value").cast("binary").alias("line")).first()
+    line = bytes(row.line) if row else b""
+    if encoding is None:
+        try:
+            line.decode("utf-8")
+            encoding = ENCODINGS[0]
+        except UnicodeDecodeError:
+            encoding = ENCODINGS[1]
+    names = next(csv.reader([line.decode("cp949" if encoding == "MS949" else encoding)]), [])
+    return encoding, tuple(n.lstrip("\ufeff").strip() for n in names)
+
+
+def scan_contracts(spark: SparkSession, path: str | list[str], columns: dict[str, str], *, encoding: str | None = None) -> DataFrame:
+    """Raw contracts, the used columns only, still as text.
+
+    Each file is read by its own header and encoding; files that share both
+    are read together. A file that lacks a used column is an error, so that no
+    rollup is stored over rows that could not be read.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for file in _files(spark, path):
+        charset, names = _head(spark, file, encoding)
+        if missing := [c for c in columns if c not in names]:
+            raise ValueError(f"{file} lacks the columns {', '.join(missing)}")
+        groups.setdefault((charset, names), []).append(file)
+    return union_all([_renamed(read_csv_any(spark, files, encoding=charset), columns) for (charset, _), files in groups.items()])
+
+
+def scan_sales(spark: SparkSession, path: str | list[str], *, encoding: str | None = None) -> DataFrame:
+    return scan_contracts(spark, path, SALE_COLUMNS, encoding=encoding)
+
+
+def scan_leases(spark: SparkSession, path: str | list[str], *, encoding: str | None = None) -> DataFrame:
+    return scan_contracts(spark, path, LEASE_COLUMNS, encoding=encoding)
 
 
 # ---- wide statistics --------------------------------------------------------
@@ -238,12 +273,30 @@ WORKPLACE_COLUMNS = {
 }
 
 
-def choose_workplace_files(combined: str | None, single: list[str], years: tuple[str, ...] = ("2024", "2025", "2026")) -> list[str]:
-    """The combined file plus the single files after it; without one, all files."""
+def choose_workplace_files(combined: str | None, single: list[str], last: str = "", others: tuple[str, ...] = ()) -> list[str]:
+    """The combined file plus the single files of later periods; without one, all single files, or else all ``others``.
+
+    ``last`` is the combined file's last period (``last_period``), as ``YYYYMM``.
+    A name that starts its date with a year only counts by the year.
+    """
     if combined is None:
-        return sorted(single)
-    newer = [p for p in sorted(single) if any(year in p.rsplit("/", 1)[-1] for year in years)]
-    return [combined, *newer]
+        return sorted(single) or sorted(others)
+
+    def later(path: str) -> bool:
+        stamp = re.search(r"(?:19|20)\d{2}[-_.]?(?:0[1-9]|1[0-2])?", path.rsplit("/", 1)[-1])
+        digits = re.sub(r"\D", "", stamp[0]) if stamp else ""
+        return not digits or digits > last[: len(digits)] or (len(digits) == 4 and digits == last[:4])
+
+    return [combined, *(p for p in sorted(single) if later(p))]
+
+
+def last_period(spark: SparkSession, path: str, *, encoding: str | None = None) -> str:
+    """Last period of a workplace file as ``YYYYMM``; empty if it has none."""
+    raw = read_csv_any(spark, path, encoding=encoding)
+    found = match_columns(raw.columns, ["자료생성년월"])
+    if not found:
+        raise ValueError(f"{path} has no period column")
+    return raw.agg(F.max(F.regexp_replace(F.col(f"`{found['자료생성년월']}`"), r"\D", ""))).first()[0] or ""
 
 
 def match_columns(have: list[str], wanted: list[str]) -> dict[str, str]:
@@ -260,13 +313,14 @@ def match_columns(have: list[str], wanted: list[str]) -> dict[str, str]:
 
 
 def read_workplaces(spark: SparkSession, paths: list[str], *, encoding: str | None = None) -> DataFrame:
-    """Pension workplaces of several files; a file without the columns is left out."""
+    """Pension workplaces of several files; a file that lacks a column is an error."""
     frames = []
     for path in paths:
         raw = read_csv_any(spark, path, encoding=encoding)
         found = match_columns(raw.columns, list(WORKPLACE_COLUMNS))
-        if len(found) == len(WORKPLACE_COLUMNS):
-            frames.append(raw.select(*(F.col(f"`{found[c]}`").alias(name) for c, name in WORKPLACE_COLUMNS.items())))
+        if missing := [c for c in WORKPLACE_COLUMNS if c not in found]:
+            raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+        frames.append(raw.select(*(F.col(f"`{found[c]}`").alias(name) for c, name in WORKPLACE_COLUMNS.items())))
     if not frames:
         return spark.createDataFrame([], "district_code string, ym string, subscribers double, billed double, hired double, left double")
     return shape_workplaces(union_all(frames))

@@ -295,19 +295,31 @@ def _household_item(name: str) -> Column:
     )
 
 
-def curate_household_assets(rows: DataFrame, *, region: str = "C1_NM", item: str = "C3_NM", trait: str = "C2_NM") -> DataFrame:
+def _province_values(rows: DataFrame, region: str) -> DataFrame:
+    return rows.withColumn("province", exact_province(region)).filter(
+        F.col("province").isNotNull() & (F.col("province") != NATIONWIDE) & F.col("year").isNotNull() & F.col("value").isNotNull()
+    )
+
+
+def household_items(rows: DataFrame, *, region: str = "C1_NM", item: str = "C3_NM") -> DataFrame:
+    """Every item of a balance sheet table in long form: (year, province, item, value), the first value of each."""
+    named = _province_values(rows, region).withColumn("item", F.trim(item)).filter(F.col("item").isNotNull())
+    return named.groupBy("year", "province", "item").agg(F.min_by("value", "seq").alias("value"))
+
+
+def curate_household_assets(
+    rows: DataFrame, *, region: str = "C1_NM", item: str = "C3_NM", trait: str = "C2_NM", items: list[str] | None = None
+) -> DataFrame:
     """Balance sheet of the average household per province and year.
 
-    Total categories and average items are used where the table has them. If no
-    item is recognised, all items are spread into their own columns.
+    Total categories and average items are used where the table has them. A
+    table with other wording is spread into the columns that ``items`` names;
+    ``household_items`` lists all it has.
     """
-    rows = rows.withColumn("province", exact_province(region)).filter(
-        F.col("province").isNotNull() & (F.col("province") != NATIONWIDE) & F.col("year").isNotNull() & F.col("value").isNotNull()
-    )
-    known = rows.withColumn("measure", _household_item(item)).filter(F.col("measure").isNotNull())
-    if known.isEmpty():
-        items = [r[0] for r in rows.select(F.trim(item)).distinct().orderBy(F.trim(item)).take(1000)]
+    rows = _province_values(rows, region)
+    if items is not None:
         return pivot_series(rows.withColumn("measure", F.trim(item)), keys=["year", "province"], names="measure", values=items, value="value", seq="seq")
+    known = rows.withColumn("measure", _household_item(item)).filter(F.col("measure").isNotNull())
     total = F.col(trait).contains("전체") | (F.col(trait) == "계")
     average = F.col("ITM_NM").contains("평균")
     for wanted in (total, average):

@@ -4,7 +4,6 @@ import pytest
 
 import __spark_entry__ as entry
 from hearthpanel.operators import aggregates, stats
-from hearthpanel.operators.joins import broadcast_if_small
 from workloads import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -50,28 +49,7 @@ def test_totals_survive_the_rollup(spark):
     assert again.selectExpr("sum(deal_count)").first()[0] == valid
 
 
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(100)
-    big, small = broadcast_if_small(df, max_rows=10), broadcast_if_small(df, max_rows=100)
-    assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-
-
 def test_outliers_on_a_hot_group_do_not_shuffle_the_rows(spark):
     scored = stats.detect_outliers(t.sales(spark, SF), "amount")
     text = plan(scored)
     assert "BroadcastHashJoin" in text and "Window" not in text
-
-
-def test_the_named_checkpoint_folder_is_used(spark, tmp_path):
-    from hearthpanel.operators.joins import materialise
-
-    context = spark.sparkContext
-    before = context.getCheckpointDir()
-    context.setCheckpointDir(str(tmp_path / "shared"))
-    try:
-        assert materialise(spark.range(3)).count() == 3
-        assert any((tmp_path / "shared").rglob("part-*"))
-    finally:
-        if before:
-            context.setCheckpointDir(before)

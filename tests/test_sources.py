@@ -101,10 +101,14 @@ def test_workplaces(spark, tmp_path):
     a = write(tmp_path / "a.csv", f"{plain}\n202001,11,110,\"1,000\",5,3,1\n자료,11,110,1,1,1,1\n")
     b = write(tmp_path / "b.csv", f"{longer}\n2020-02,11,110,2,7,x,\n")
     c = write(tmp_path / "c.csv", "x,y\n1,2\n")
-    rows = {r["ym"]: r for r in csv_files.read_workplaces(spark, [a, b, c]).collect()}
+    rows = {r["ym"]: r for r in csv_files.read_workplaces(spark, [a, b]).collect()}
     assert set(rows) == {"2020-01", "2020-02"} and rows["2020-01"]["subscribers"] == 1000.0
+    with pytest.raises(ValueError, match="lacks the columns"):
+        csv_files.read_workplaces(spark, [a, c])
+    assert csv_files.last_period(spark, b) == "202002"
     assert (rows["2020-02"]["hired"], rows["2020-02"]["left"], rows["2020-02"]["billed"]) == (0.0, 0.0, 7.0)
-    assert csv_files.choose_workplace_files("m.csv", ["b2024.csv", "a2019.csv"]) == ["m.csv", "b2024.csv"]
+    assert csv_files.choose_workplace_files("m.csv", ["b2028.csv", "a2019.csv", "c202312.csv", "d202401.csv"], last="202312") == ["m.csv", "b2028.csv", "d202401.csv"]
+    assert csv_files.choose_workplace_files(None, [], others=("z.csv", "y.csv")) == ["y.csv", "z.csv"]
     assert csv_files.choose_workplace_files(None, ["b2024.csv", "a2019.csv"]) == ["a2019.csv", "b2024.csv"]
 
 
@@ -206,7 +210,7 @@ def test_household_tables(spark):
     rows = [row("서울", "전체", "자산", "1,000"), row("서울", "전체", "부채", "400"), row("서울", "전체", "경상소득(전년도)", "200"), row("서울", "남자", "자산", "9"), row("서울", "전체", "자산", "7", "중앙값"), row("전국", "전체", "자산", "5")]
     got = landed.curate_household_assets(listed(spark, rows)).first()
     assert (got["household_assets"], got["net_worth"], got["debt_to_income"]) == (1000.0, 600.0, 200.0)
-    other = landed.curate_household_assets(listed(spark, [row("서울", "전체", "전가구 평균", "3.5")])).first()
+    other = landed.curate_household_assets(listed(spark, [row("서울", "전체", "전가구 평균", "3.5")]), items=["전가구 평균"]).first()
     assert other["전가구 평균"] == 3.5
     quint = [
         {"PRD_DE": "2020", "C1_NM": "전체", "C2_NM": " 1분위 ", "C3_NM": item, "ITM_NM": "평균", "DT": v}
@@ -320,3 +324,29 @@ def test_csv_export(spark, tmp_path):
     assert part.read_bytes().startswith(b"\xef\xbb\xbf")
     sinks.write_curated(df, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 2
+
+
+def test_contract_files_are_read_by_their_own_header(spark, tmp_path):
+    """Other encodings, another column order and years such as 2020.0 lose no row; a missing column is an error."""
+    from hearthpanel.operators.contracts import type_sales, valid_contracts
+
+    names = list(csv_files.SALE_COLUMNS)
+    values = {"년": "2020.0", "월": "3", "지역코드": "11110", "전용면적": "84.5", "건축년도": "2001", "거래금액": '"12,500"'}
+    line = lambda order: ",".join(order) + "\n" + ",".join(values[c] for c in order) + "\n"
+    folder = tmp_path / "sales"
+    folder.mkdir()
+    write(folder / "a.csv", line(names))
+    write(folder / "b.csv", line(names[::-1]))
+    write(folder / "c.csv", line(names), "cp949")
+    write(folder / "d.csv", line(names), "utf-8-sig")
+    rows = valid_contracts(type_sales(csv_files.scan_sales(spark, str(folder)))).collect()
+    assert len(rows) == 4 and {(r["district_code"], r["year"], r["month"], r["amount"], r["area"]) for r in rows} == {("11110", 2020, 3, 12500, 84.5)}
+    write(folder / "e.csv", line(names[1:]))
+    with pytest.raises(ValueError, match="lacks the columns 년"):
+        csv_files.scan_sales(spark, str(folder))
+
+
+def test_household_items_have_no_cap(spark):
+    rows = [{"PRD_DE": "2020", "C1_NM": "서울", "C2_NM": "전체", "C3_NM": f"항목 {i}", "ITM_NM": "평균", "DT": str(i)} for i in range(1500)]
+    got = landed.household_items(listed(spark, rows)).collect()
+    assert {(r["item"], r["value"]) for r in got} == {(f"항목 {i}", float(i)) for i in range(1500)}

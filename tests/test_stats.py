@@ -37,10 +37,7 @@ def test_correlation_by_needs_three_pairs(spark):
     assert only[0]["r"] == round(np.corrcoef([1, 2, 3], [2, 1, 5])[0, 1], 4)
 
 
-@pytest.mark.parametrize("whole", [200_000, 0])
-def test_group_quantiles_are_exact(spark, monkeypatch, whole):
-    """With ``whole=0`` the sketch brackets are in force for every group."""
-    monkeypatch.setattr(stats, "WHOLE_GROUP_ROWS", whole)
+def test_group_quantiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(stats, "SKETCH_ACCURACY", 1000)
     monkeypatch.setattr(stats, "BRACKET", 4 / 1000)
     rng = np.random.default_rng(3)
@@ -235,3 +232,34 @@ def test_formulas(spark):
     assert tuple(checked) == (1, 0.5, "permits")
     korean = df.withColumn("가격", F.col("avg_price"))
     assert formulas.with_formulas(korean, {"x": "가격 * 2"}).orderBy("year").first()["x"] == 200.0
+
+
+def test_regressors_of_unlike_scale(spark):
+    """A rate beside a product that is ten orders larger keeps its coefficient."""
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    grdp, rate, people = rnd.uniform(1e8, 9e8, 200), rnd.uniform(0.5, 5, 200), rnd.uniform(1e5, 1e7, 200)
+    y = 1e4 + 1e-5 * grdp + 2000 * rate + 1e-3 * people + rnd.normal(0, 1, 200)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(y, grdp, rate, people)], "y double, grdp double, rate double, people double")
+    table = {r["variable"]: r for r in models.ols_table(df, "y", ["grdp", "rate", "people"]).collect()}
+    exact = np.linalg.lstsq(np.column_stack([np.ones(200), grdp, rate, people]), y, rcond=None)[0]
+    for name, value in zip(["intercept", "grdp", "rate", "people"], exact):
+        assert abs(table[name]["coefficient"] / value - 1) < 1e-6
+    assert table["rate"]["r_squared"] > 0.9999
+
+
+def test_a_perfect_lead_lag_fit_is_skipped(spark):
+    rows = [("a", i, float(i % 2), float((i * 7) % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "province string, ym int, y double, x double")
+    assert models.granger(df, "y", "x").count() == 0
+
+
+def test_quantiles_of_small_and_tied_groups(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    groups = {n: rnd.choice([1.0, 2.0, 2.5, 7.0, 9.0], n) if n % 2 else rnd.normal(size=n) for n in (1, 2, 3, 4, 7, 10, 101, 3000)}
+    df = spark.createDataFrame([(int(g), float(v)) for g, values in groups.items() for v in values], "g int, v double")
+    for r in stats.group_quantiles(df, "v", group=["g"], probs=[0.0, 0.25, 0.5, 0.9, 1.0]).collect():
+        assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(groups[r["g"]], [0.0, 0.25, 0.5, 0.9, 1.0]))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.operators.contracts import lease_rollup, lease_rollups, sales_rollup
-from hearthpanel.operators.joins import materialise
 
 
 @lru_cache(maxsize=256)
@@ -149,11 +148,11 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District-month figures from which the indicator tables are cut.
 
     One scan of the orders serves all indicators: the result has one row per
-    district and month and is stored between its uses.
+    district and month.
     """
     sums = [F.expr(f"sum({value}) AS {name}") for name, value in FACT_SUMS.items()]
     facts = leases(spark, sf_dir).groupBy("province", "district_code", "year", "month").agg(*sums)
-    return materialise(facts)
+    return facts
 
 
 FACTS = """
@@ -177,7 +176,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sums = [F.expr(f"sum({name}) AS {name}") for name in FACT_SUMS]
     # Region-period totals, each the base of several indicators.
     monthly, yearly, national = (
-        materialise(facts.groupBy(*keys).agg(*sums))
+        facts.groupBy(*keys).agg(*sums)
         for keys in (PROVINCE_MONTH, ["province", "year"], ["year", "month"])
     )
     in_month = PROVINCE_MONTH
@@ -225,8 +224,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def panel_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    # One scan rolls up all lease kinds; the rollup is kept for its three uses.
-    lease = materialise(lease_rollups(leases(spark, sf_dir)))
+    lease = lease_rollups(leases(spark, sf_dir))
     kinds = {kind: lease.filter(F.col("lease_kind") == kind).drop("lease_kind") for kind in LEASE_WHERE}
     return {
         "sales": rolled_sales(spark, sf_dir),
