@@ -26,7 +26,7 @@ DOCUMENTS = 2000
 WORKERS = 96
 ROUNDS = 2
 #: Bytes of text that a task scores at a time.
-PIECE = 16 << 20
+PIECE = 4 << 20
 #: Name of the end of a document among the hashes of words.
 END = np.uint64(0x0123456789ABCDEF)
 
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             more, n = np.unique(tokens(piece.column("text"))[0], return_counts=True)
             name, at = np.unique(np.concatenate([name, more]), return_inverse=True)
             count = np.bincount(at, np.concatenate([count, n]), minlength=len(name)).astype(np.int64)
-            if len(name) > 2_000_000:
+            if len(name) > 1_000_000:
                 yield batch()
                 name, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(name):

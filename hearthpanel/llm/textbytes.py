@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 # An odd base and its inverse give prefix hashes modulo 2**64; random byte values make them uniform.
@@ -16,21 +14,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=2)
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, BASE, np.uint64)
-        down = np.full(n, INVERSE, np.uint64)
+    """At least ``n`` powers of the base and of its inverse; a worker keeps the longest asked for."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = ((n >> 20) + 1) << 20
+        up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
         up[0] = down[0] = 1
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _POWERS[0], _POWERS[1]
 
 
 class Hashes:
     """Hash of any byte range in constant time; equal strings have equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(16, int(len(data)).bit_length())
-        self.up, self.down = _powers(size)
+        self.up, self.down = _powers(len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTES[data] * self.up[: len(data)], out=self.prefix[1:], dtype=np.uint64)
 
