@@ -51,9 +51,9 @@ def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def keep_latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the one with the largest ``order``."""
+    """One row per key, the one with the largest ``order``; of equal ones the one with the largest other values."""
     rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("_row"))
     return kept.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(*df.columns)
 
 

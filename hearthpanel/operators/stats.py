@@ -38,8 +38,17 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     complete = df.select(*(_double(c).alias(c) for c in columns)).dropna()
     pairs = list(combinations(columns, 2))
-    measures = [pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    moments = complete.agg(F.count(F.lit(1)).alias("n"), *measures)
+    # Rows are complete, so each column has one spread for all of its pairs.
+    spreads = [F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]
+    shared = [F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    at = {c: i for i, c in enumerate(columns)}
+
+    def bounded(i: int, a: str, b: str) -> Column:
+        r = F.try_divide(F.col(f"c{i}"), F.col(f"s{at[a]}") * F.col(f"s{at[b]}"))
+        return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r).alias(f"r{i}")
+
+    moments = complete.agg(F.count(F.lit(1)).alias("n"), *spreads, *shared)
+    moments = moments.select("n", *(bounded(i, a, b) for i, (a, b) in enumerate(pairs)))
 
     def cell(a: str, b: str, r: Column) -> Column:
         return F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), r.cast("double").alias("r"))
@@ -117,14 +126,17 @@ SKETCH_ACCURACY = 100_000
 BRACKET = 4 / SKETCH_ACCURACY
 
 
-def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[float]) -> DataFrame:
+def group_quantiles(
+    df: DataFrame, col: str, *, group: list[str], probs: list[float], extra: dict[str, Column] | None = None
+) -> DataFrame:
     """Exact interpolated quantiles per group, for groups of any size.
 
     A sketch brackets each quantile, then one count per distinct value inside
     the brackets, and one count for each stretch outside them with its smallest
     and largest value, is enough to read off the exact order statistics, in a
     group of any size. A rank inside a stretch would mean that the sketch broke
-    its bound and raises an error. No task holds a whole group.
+    its bound and raises an error. No task holds a whole group. ``extra`` adds
+    aggregates of the value ``v`` by name, from the pass of the sketch.
     """
     values = df.select(*group, _double(col).alias("v")).dropna()
     marks = [m for p in probs for m in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
@@ -133,13 +145,15 @@ def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[fl
         F.min("v").alias("low"),
         F.max("v").alias("high"),
         F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("marks"),
+        *(c.alias(name) for name, c in (extra or {}).items()),
     )
+    also = list(extra or {})
     bounds = []
     for i, p in enumerate(probs):
         low = F.when(F.lit(p - BRACKET <= 0), F.col("low")).otherwise(F.col("marks")[2 * i])
         high = F.when(F.lit(p + BRACKET >= 1), F.col("high")).otherwise(F.col("marks")[2 * i + 1])
         bounds += [low.alias(f"lo{i}"), high.alias(f"hi{i}")]
-    placed = values.join(edges.select(*group, "n", *bounds), group)
+    placed = values.join(edges.select(*group, "n", *also, *bounds), group)
 
     v = F.col("v")
     inside, stretch = F.lit(False), F.lit(0)
@@ -147,8 +161,8 @@ def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[fl
         inside = inside | v.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
         stretch = stretch + (v >= F.col(f"lo{i}")).cast("int") + (v > F.col(f"hi{i}")).cast("int")
     counted = (
-        placed.select(*group, "n", stretch.alias("stretch"), F.when(inside, v).alias("v"), v.alias("any"))
-        .groupBy(*group, "n", "stretch", "v")
+        placed.select(*group, "n", *also, stretch.alias("stretch"), F.when(inside, v).alias("v"), v.alias("any"))
+        .groupBy(*group, "n", *also, "stretch", "v")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("any").alias("least"), F.max("any").alias("most"))
     )
     upto = Window.partitionBy(*group).orderBy("stretch", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -173,7 +187,7 @@ def group_quantiles(df: DataFrame, col: str, *, group: list[str], probs: list[fl
         ).alias(f"q{i}")
         for i, p in enumerate(probs)
     ]
-    return ranked.groupBy(*group, "n").agg(*picks).select(*group, "n", *quantiles)
+    return ranked.groupBy(*group, "n", *also).agg(*picks).select(*group, "n", *also, *quantiles)
 
 
 def quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
@@ -193,18 +207,16 @@ def detect_outliers(
     if method not in ("zscore", "iqr"):
         raise ValueError(f"unknown method {method!r}")
     value = _double(col)
-    stats = (
-        df.filter(F.col(group).isNotNull())
-        .groupBy(group)
-        .agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_spread"))
-        .filter(F.col("_n") >= MIN_PAIRS)
-    )
+    named = df.filter(F.col(group).isNotNull())
     if method == "iqr":
-        fences = group_quantiles(df.filter(F.col(group).isNotNull()), col, group=[group], probs=[0.25, 0.75])
+        moments = {"_mean": F.avg("v"), "_spread": F.stddev_samp("v")}
+        fences = group_quantiles(named, col, group=[group], probs=[0.25, 0.75], extra=moments)
         width = (F.col("q1") - F.col("q0")) * 1.5
-        stats = stats.join(
-            fences.select(group, (F.col("q0") - width).alias("_low"), (F.col("q1") + width).alias("_high")), group
-        )
+        low, high = (F.col("q0") - width).alias("_low"), (F.col("q1") + width).alias("_high")
+        stats = fences.select(group, F.col("n").alias("_n"), "_mean", "_spread", low, high)
+    else:
+        stats = named.groupBy(group).agg(F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_spread"))
+    stats = stats.filter(F.col("_n") >= MIN_PAIRS)
     scored = df.join(stats, group, "left")
     z = F.when(F.col("_spread") == 0, F.when(value.isNotNull(), F.lit(0.0))).otherwise(
         ratio(value - F.col("_mean"), "_spread")

@@ -67,10 +67,17 @@ def in_window(landed: DataFrame, window: Window, period: str = "ym") -> DataFram
     return landed.filter(upto if window.start is None else upto & (column >= window.start))
 
 
-def merge_increment(target: DataFrame, increment: DataFrame, keys: list[str]) -> DataFrame:
-    """History plus new rows; for a key in both, the new row stays."""
-    stacked = target.withColumn("_load", F.lit(0)).unionByName(increment.withColumn("_load", F.lit(1)), allowMissingColumns=True)
-    return keep_latest(stacked, keys, "_load").drop("_load")
+def merge_increment(target: DataFrame, increment: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
+    """History plus new rows; for a key in both, the new row stays.
+
+    The history loses the increment's keys in an anti join, for which Spark
+    broadcasts a small increment and leaves the history where it is. A key that
+    the increment repeats keeps the row with the largest ``order``, then with
+    the largest values; a key with a null part never equals another.
+    """
+    fresh = keep_latest(increment.withColumn("_load", F.col(order) if order else F.lit(0)), keys, "_load").drop("_load")
+    kept = target.join(fresh.select(*keys), keys, "left_anti").select(*target.columns)
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def new_rows(target: DataFrame, landed: DataFrame, *, period: str = "ym") -> DataFrame:
