@@ -20,6 +20,7 @@ Q = 16
 RUN = 8
 #: Bytes of text that a task names at a time; the names take about 100 times that.
 PIECE = 1 << 20
+TURNS = np.random.default_rng(20240608).integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPANS = "doc_id long, text_sha256 string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"
 
 
@@ -57,8 +58,8 @@ class Suffixes(NamedTuple):
         step, owner = _inside(near, far)
         core = at[owner] - RUN * step
         begin, end = np.maximum(low[owner], core - RUN + 1), np.minimum(high[owner], core)
-        shared = mixed(self.two[core] + mixed(self.first[core + length - RUN + 1 - Q]) * np.uint64(11))
-        whole = mixed(self.string[begin] + mixed(self.string[end]) * np.uint64(13) + (end - begin).astype(np.uint64))
+        shared = mixed(self.two[core] * TURNS[2] + self.two[core + length - RUN + 1 - 2 * Q])
+        whole = mixed(self.string[begin] * TURNS[3] + self.string[end] + (end - begin).astype(np.uint64))
         return owner, begin, end, shared, whole
 
 
@@ -67,19 +68,19 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> Suffixes:
 
     A string is stood for by its suffix with the smallest bucket number, the
     first on a tie. Names of longer strings are built from names of shorter
-    ones at later offsets, each level from the one before: Q, 2Q, then
-    ``length``, then the whole context.
+    ones at later offsets, each level from the one before: 2Q from Q,
+    ``length`` from 2Q, the whole context from ``length``.
     """
-    if length < 3 * Q or length > 4 * Q:
-        raise ValueError(f"length must be from {3 * Q} to {4 * Q}")
+    if not 2 * Q + RUN <= length <= 4 * Q:
+        raise ValueError(f"length must be from {2 * Q + RUN} to {4 * Q}")
     size = offsets[1:] - offsets[:-1]
     if len(data) < length or not (size >= length).any():
         return Suffixes(*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 5)
     first = mixed(Hashes(data).grams(Q))
     n = len(data) - length + 1
-    two = mixed(first[: len(first) - Q] + mixed(first[Q:]))
-    three = mixed(two[:n] + mixed(first[2 * Q : 2 * Q + n]) * np.uint64(3))
-    string = mixed(three + mixed(first[length - Q : length - Q + n]) * np.uint64(5))
+    # Sums of well-mixed names with odd factors name the longer strings.
+    two = first[: len(first) - Q] * TURNS[0] + first[Q:]
+    string = two[:n] * TURNS[1] + two[length - 2 * Q : length - 2 * Q + n]
     width = length - Q + 1
     least, span = first, 1
     while 2 * span <= width:
@@ -97,7 +98,7 @@ def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> Suffixes:
     edge = np.flatnonzero(head)
     low, high = at[edge], at[np.append(edge[1:], len(at)) - 1]
     row = np.searchsorted(offsets, low, side="right") - 1
-    context = mixed(string[low] + mixed(string[high]) * np.uint64(7) + (high - low).astype(np.uint64))
+    context = mixed(string[low] * TURNS[4] + string[high] + (high - low).astype(np.uint64))
     return Suffixes(row, low, high, least[low], context, first, two, string)
 
 
@@ -128,7 +129,10 @@ def _refined(sent: DataFrame) -> DataFrame:
     """
     same, bucket = Window.partitionBy("core", "whole"), Window.partitionBy("core")
     # Dealt by the core alone, the rows serve both windows without a second exchange.
-    seen = sent.repartition("core").withColumn("least", F.min("doc").over(same))
+    seen = sent.repartition("core").sortWithinPartitions("core", "whole")
+    last = F.max(F.coalesce(F.array_max("more"), F.col("doc"))).over(bucket)
+    seen = seen.withColumns({"low": F.min("doc").over(bucket), "last": last}).filter("low < last")
+    seen = seen.withColumn("least", F.min("doc").over(same))
     seen = seen.withColumns({"low": F.min("least").over(bucket), "top": F.max("least").over(bucket)})
     copies = F.coalesce(F.filter("more", lambda d: d > F.col("least")), F.array().cast("array<long>"))
     done = F.concat(F.when(F.col("doc") > F.col("least"), F.array("doc")).otherwise(F.array().cast("array<long>")), copies)
@@ -224,7 +228,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
             data, offsets = flat_bytes(piece.column("text"))
             found = sampled(data, offsets, length)
             whole = _listed(found.row, found.context, piece.column("whole"))
-            rest = np.flatnonzero(~whole)
+            rest = np.flatnonzero(_listed(found.row, found.context, piece.column("contexts")))
             owner, begin, end, _, name = found.runs(rest, length)
             row = found.row[rest[owner]]
             run = _listed(row, name, piece.column("whole_runs"))
@@ -252,16 +256,17 @@ def repeated_spans(docs: DataFrame, *, length: int = 50) -> DataFrame:
     first = store(_by_document(first, "whole", "contexts"), "suffix-contexts")
     release(spark)
     asked = first.filter(F.size("contexts") > 0).select("doc_id", "contexts")
-    second = _by_document(_refined(placed.join(asked, "doc_id").select("doc_id", "text", "contexts").mapInArrow(runs, SENT)), "whole_runs", "runs")
+    second = _by_document(_refined(placed.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "contexts").mapInArrow(runs, SENT)), "whole_runs", "runs")
     second = store(second, "suffix-runs")
     release(spark)
     asked = asked.join(second.filter(F.size("runs") > 0).select("doc_id", "runs"), "doc_id")
-    third = _refined(placed.join(asked, "doc_id").select("doc_id", "text", "contexts", "runs").mapInArrow(strings, SENT)).filter("done")
+    third = _refined(placed.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "contexts", "runs").mapInArrow(strings, SENT)).filter("done")
     third = store(third.groupBy("doc_id").agg(F.collect_list("name").alias("strings")), "suffix-strings")
     release(spark)
-    told = first.select("doc_id", "whole").join(second.select("doc_id", "whole_runs"), "doc_id", "left").join(third, "doc_id", "left")
+    told = first.join(second.select("doc_id", "whole_runs"), "doc_id", "left").join(third, "doc_id", "left")
     told = told.filter("size(whole) > 0 or size(whole_runs) > 0 or strings is not null")
-    found = placed.join(told, "doc_id").select("doc_id", "text", "whole", "whole_runs", "strings")
+    # The lists of names are hashed, so that texts need no sort.
+    found = placed.join(told.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "whole", "contexts", "whole_runs", "strings")
     spans = found.mapInArrow(remove, SPANS).dropDuplicates(["doc_id", "text_sha256"])
 
     cut = every.join(spans.drop("n_bytes"), ["doc_id", "text_sha256"], "left")
