@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from hearthpanel.functions import numeric, periods, regions
 from hearthpanel.operators import aggregates as agg
 from hearthpanel.operators import joins, reshape, scope
+from hearthpanel.plans.load import Target, load
 from hearthpanel.plans.panel import build_panel
 from hearthpanel.sources import catalogue, csv_files, landed
 from hearthpanel.streaming import incremental as inc
@@ -316,6 +320,44 @@ def incremental_merge(spark, sf):
     return inc.merge_increment(target, increment, ["province", "district_code", "ym"])
 
 
+_LOADED = ("province", "district_code", "year", "ym", "deal_count")
+
+
+def _loads(spark, sf, *ends):
+    """The rollup loaded in steps into a new folder: reports of the loads, and the table as it is then."""
+    landed = t.rolled_sales(spark, sf).select(*_LOADED)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hearthpanel-")
+    target = Target("sales", f"{shared.rstrip('/')}/load-{uuid.uuid4().hex}", ["district_code", "ym"])
+    reports = [load(spark, target, landed, end=end).collect() for end in ends]
+    return reports, spark.read.schema(landed.schema).parquet(target.path)
+
+
+@query("load_twice", f"""WITH {t.SALES_ROLLUP} SELECT province, district_code, year, ym, deal_count FROM sales_rollup""")
+def load_twice(spark, sf):
+    """Half the months, the rest, and the rest again: every row once."""
+    return _loads(spark, sf, "1998-06", "2001-12", "2001-12")[1]
+
+
+@query(
+    "report_totals",
+    f"""WITH {t.SALES_ROLLUP} SELECT 2 AS loaded, 0 AS failed, 1 AS skipped, count(*) AS added_rows FROM sales_rollup""",
+)
+def report_totals(spark, sf):
+    reports, _ = _loads(spark, sf, "1998-06", "2001-12", "2001-12")
+    kinds = "table string, rows long, regions long, first_period string, last_period string, period_before string, added_rows long, status string"
+    return inc.report_totals(spark.createDataFrame([tuple(r) for rows in reports for r in rows], kinds))
+
+
+@query(
+    "month_range",
+    f"""WITH {t.SALES_ROLLUP}, b AS (SELECT min(ym) AS a, max(ym) AS z FROM sales_rollup)
+SELECT strftime(unnest(generate_series(CAST(a || '-01' AS DATE), CAST(z || '-01' AS DATE), INTERVAL 1 MONTH)), '%Y-%m') AS ym FROM b""",
+)
+def month_range(spark, sf):
+    bounds = t.rolled_sales(spark, sf).agg(F.min("ym").alias("a"), F.max("ym").alias("z")).first()
+    return inc.month_range(spark, bounds.a, bounds.z)
+
+
 @query(
     "new_rows",
     f"""WITH {t.SALES_ROLLUP} SELECT district_code, ym, deal_count FROM sales_rollup WHERE ym > '1999-06'""",
