@@ -173,7 +173,7 @@ def test_leaks(spark):
     torn = ITEM.replace("120 km", "75 km").replace("45", "9")  # 120 has two values now
     texts = [filler + ITEM + filler, filler + changed + ".", torn, " ".join(ITEM.split()[8:15]), None, "", filler * 400 + ITEM.upper().lower(), ITEM + " " + ITEM]
     found = leak_rows(spark, texts)
-    assert set(found) == {(0, 0), (1, 0), (6, 0), (7, 0)} or set(found) == {(0, 0), (1, 0), (7, 0)}
+    assert set(found) == {(0, 0), (1, 0), (6, 0), (7, 0)}  # not the torn one, whose number has two values, nor the short quote
     assert found[0, 0].kind == "verbatim" and found[0, 0].coverage > 0.9
     assert found[1, 0].kind == "reparameterised" and found[1, 0].n_changed >= 3
 
