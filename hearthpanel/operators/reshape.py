@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def arrival() -> Column:
+    """Order of rows as they stand in their files: file name, place of the split, place in it.
+
+    It does not depend on how splits are packed into tasks.
+    """
+    return F.struct(
+        F.input_file_name().alias("file"),
+        F.input_file_block_start().alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def pivot_series(
     long: DataFrame,
     *,

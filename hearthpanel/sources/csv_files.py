@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hearthpanel.functions.numeric import clean_amount, clean_double
 from hearthpanel.functions.periods import pad_code, year_month, ym_from_compact
 from hearthpanel.functions.regions import NATIONWIDE, province_from_code, short_province
-from hearthpanel.operators.reshape import keep_first, union_all
+from hearthpanel.operators.reshape import arrival, keep_first, union_all
 
 # Encodings tried in order, by their JVM names.
 ENCODINGS = ("UTF-8", "MS949")
@@ -185,8 +185,8 @@ def _population_file(spark: SparkSession, path: str, position: int, encoding: st
             )
         )
     if not cells:
-        return spark.createDataFrame([], "province string, year int, population bigint, population_male bigint, population_female bigint, _order struct<file:int,line:bigint,place:int>")
-    order = F.struct(F.lit(position).alias("file"), F.monotonically_increasing_id().alias("line"), F.col("cell.place").alias("place"))
+        return spark.createDataFrame([], "province string, year int, population bigint, population_male bigint, population_female bigint, _order struct<file:int,line:struct<file:string,split:bigint,row:bigint>,place:int>")
+    order = F.struct(F.lit(position).alias("file"), arrival().alias("line"), F.col("cell.place").alias("place"))
     return (
         raw.withColumn("cell", F.explode(F.array(*cells)))
         .filter(region.contains("(") & code.rlike(r"^\d{2}0{8}$") & F.col("cell.population").isNotNull())

@@ -30,7 +30,7 @@ from hearthpanel.operators.ratios import (
     with_non_apartment,
     with_per_head_income,
 )
-from hearthpanel.operators.reshape import age_pivot, pivot_series
+from hearthpanel.operators.reshape import age_pivot, arrival, pivot_series
 from hearthpanel.operators.scope import prefer_value
 
 # ---- XML --------------------------------------------------------------------
@@ -73,7 +73,7 @@ def xml_rows(responses: DataFrame, tags: list[str], *, keep: list[str] = ()) ->
     """Items of the accepted responses, one text column per tag, blanks trimmed."""
     schema = ", ".join(f"`{tag}` string" for tag in tags)
     items = responses.filter(~F.col("failed")).select(
-        *keep, F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<item>.*?</item>"), F.lit(0))).alias("item")
+        *keep, F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<item(?:\s[^>]*)?>.*?</item>"), F.lit(0))).alias("item")
     )
     parsed = items.select(*keep, F.from_xml("item", schema).alias("r"))
     return parsed.select(*keep, *(F.trim(F.col(f"r.`{tag}`")).alias(tag) for tag in tags))
@@ -148,9 +148,9 @@ def bank_rows(responses: DataFrame, *, series: str | Column | None = None, seq:
     position in the response.
     """
     label = series if isinstance(series, Column) else F.lit(series)
-    arrival = F.monotonically_increasing_id() if seq is None else seq
+    placed = arrival() if seq is None else seq
     rows = responses.select(
-        label.alias("series"), arrival.alias("arrival"), F.posexplode("StatisticSearch.row").alias("position", "r")
+        label.alias("series"), placed.alias("arrival"), F.posexplode("StatisticSearch.row").alias("position", "r")
     )
     value = clean_double("r.DATA_VALUE")
     return rows.select(
@@ -281,7 +281,7 @@ def read_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def list_rows(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
-        {"value": clean_double("DT"), "year": F.substring("PRD_DE", 1, 4).try_cast("int"), "seq": F.monotonically_increasing_id()}
+        {"value": clean_double("DT"), "year": F.substring("PRD_DE", 1, 4).try_cast("int"), "seq": arrival()}
     )
 
 
