@@ -138,7 +138,7 @@ ITEMS = ["item1", "item2", "item3", "item4"]
 
 def read_bank(spark: SparkSession, path: str | list[str], *, series: str | None = None) -> DataFrame:
     """Rows of central-bank responses, labelled with the requested series."""
-    return bank_rows(spark.read.schema(BANK_SCHEMA).option("multiLine", True).json(path), series=series)
+    return bank_rows(spark.read.schema(BANK_SCHEMA).option("multiLine", True).json(path), series=series, seq=arrival())
 
 
 def bank_rows(responses: DataFrame, *, series: str | Column | None = None, seq: Column | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def bank_rows(responses: DataFrame, *, series: str | Column | None = None, seq:
     position in the response.
     """
     label = series if isinstance(series, Column) else F.lit(series)
-    placed = arrival() if seq is None else seq
+    placed = F.monotonically_increasing_id() if seq is None else seq
     rows = responses.select(
         label.alias("series"), placed.alias("arrival"), F.posexplode("StatisticSearch.row").alias("position", "r")
     )
@@ -276,12 +276,14 @@ LIST_FIELDS = ["PRD_DE", "DT", "C1", "C1_NM", "C2", "C2_NM", "C3", "C3_NM", "ITM
 def read_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of list-shaped statistics with a numeric value and a year."""
     schema = ", ".join(f"{name} string" for name in LIST_FIELDS)
-    return list_rows(spark.read.schema(schema).option("multiLine", True).json(path))
+    return list_rows(spark.read.schema(schema).option("multiLine", True).json(path), seq=arrival())
 
 
-def list_rows(raw: DataFrame) -> DataFrame:
+def list_rows(raw: DataFrame, *, seq: Column | None = None) -> DataFrame:
+    """``seq`` orders the rows; without it they keep the order of the table at hand."""
+    placed = F.monotonically_increasing_id() if seq is None else seq
     return raw.withColumns(
-        {"value": clean_double("DT"), "year": F.substring("PRD_DE", 1, 4).try_cast("int"), "seq": arrival()}
+        {"value": clean_double("DT"), "year": F.substring("PRD_DE", 1, 4).try_cast("int"), "seq": placed}
     )
 
 
