@@ -48,7 +48,8 @@ def overlay_events(
     """Policy events placed on the series by their year or by their month.
 
     With ``region`` an event reaches the rows of its own region, and a national
-    event reaches every row.
+    event reaches every row. Every event meets every row of its period, so give
+    a panel (one row per region and period) and events counted or listed once.
     """
     stamp = F.year("event_date") if period == "year" else F.date_format("event_date", "yyyy-MM")
     placed = events.withColumn(period, stamp)

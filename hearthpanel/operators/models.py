@@ -199,11 +199,14 @@ def granger(
     """Does ``x`` lead ``y``? One F test per region and lag.
 
     A region needs more than ``3 * max_lag + 1`` complete periods. Each group
-    handed to pandas is one region's series, one row per period.
+    handed to pandas is one region's series, one row per period: rows that share
+    a period count with their mean.
     """
     series = (
         df.select(group, order_by, _double(y).alias("_y"), _double(x).alias("_x"))
         .dropna()
+        .groupBy(group, order_by)
+        .agg(F.avg("_y").alias("_y"), F.avg("_x").alias("_x"))
     )
 
     def test(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

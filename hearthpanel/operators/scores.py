@@ -237,6 +237,8 @@ def quintile_to_percentile(
     centre = F.create_map(*(F.lit(v) for pair in QUINTILE_CENTRES.items() for v in pair))[digit]
     rows = df if year is None else df.filter(F.col("year") == year)
     rows = rows.filter(~label.rlike(TOTAL_LABELS)).withColumn("_x", centre.cast("double")).filter(F.col("_x").isNotNull())
+    # One row per year and quintile, whatever the table repeats.
+    rows = rows.groupBy("year", "_x").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns))
 
     def knots(column: str) -> Column:
         point = F.struct(F.col("_x").alias("x"), F.col(column).cast("double").alias("y"))
