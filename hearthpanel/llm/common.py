@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python works through a task's texts in pieces of about this many bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,8 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = column.cast(pa.large_binary()).buffers()[1]
-        ends = np.frombuffer(sizes, np.int64, column.offset + len(column) + 1)[column.offset :]
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())  # a slice may get another offset
+        ends = np.frombuffer(column.buffers()[1], np.int64, column.offset + len(column) + 1)[column.offset :]
         ends = ends[1:] - ends[0]
         start = 0
         while start < batch.num_rows:
