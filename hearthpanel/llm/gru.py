@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN = 24
 CLASS = 32  # words of a class
 WINDOW = 32  # steps that a gradient goes back
-BATCH = 32
+BATCH = 32  # lanes of documents that train side by side, at least where there are so many documents, and at most
+LANES = 256
 RATE = 0.01
 
 
@@ -31,6 +34,7 @@ class Gru:
             "word_bias": np.log(padded.reshape(-1, CLASS) / mass[:, None]),
         }
         self.parameters = {k: v.astype(np.float32) for k, v in self.parameters.items()}
+        self.made, self.moments = 0, None
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.parameters.values()])
@@ -40,6 +44,7 @@ class Gru:
         for name, value in self.parameters.items():
             self.parameters[name] = flat[at : at + value.size].reshape(value.shape).astype(np.float32)
             at += value.size
+        self.made, self.moments = 0, None
         return self
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -90,12 +95,19 @@ class Gru:
                 back[mine] += chance @ p["to_word"][c]
         return logs, back
 
-    def slopes(self, state: np.ndarray, seen: np.ndarray, words: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], float]:
-        """One window of (documents, steps): the state after it, the slopes of the loss per word, the summed log probability."""
+    def slopes(
+        self, state: np.ndarray, seen: np.ndarray, words: np.ndarray, mask: np.ndarray, begins: np.ndarray | None = None
+    ) -> tuple[np.ndarray, dict[str, np.ndarray], float]:
+        """One window of (documents, steps): the state after it, the slopes of the loss per word, the summed log probability.
+
+        Where ``begins`` is set another document begins, with an empty state.
+        """
         slopes = {k: np.zeros_like(v) for k, v in self.parameters.items()}
         steps = words.shape[1]
         trace, states = [], []
         for t in range(steps):
+            if begins is not None:
+                state = np.where(begins[:, t, None], np.float32(0), state)
             after, *parts = self.step(state, seen[:, t])
             after = np.where(mask[:, t, None], after, state)
             trace.append((state, *parts))
@@ -118,6 +130,8 @@ class Gru:
             d_turned = np.concatenate([d_keep, d_reset, d_fresh * reset], 1)
             slopes["turn"] += before.T @ d_turned
             carry = np.where(mask[:, t, None], live * keep + d_turned @ self.parameters["turn"].T, carry)
+            if begins is not None:
+                carry = np.where(begins[:, t, None], np.float32(0), carry)
         word = seen[:, ::-1].T.ravel()
         given = np.concatenate(inputs)
         order = np.argsort(word, kind="stable")
@@ -126,29 +140,52 @@ class Gru:
         n = max(1, int(mask.sum()))
         return state, {k: v / n for k, v in slopes.items()}, float(logs.sum())
 
-    def train(self, stretches: list[np.ndarray], start: int, rate: float = RATE) -> float:
-        """One pass of Adam over stretches of words, each window of which starts with the state of the one before; log probability per word."""
-        m = {k: np.zeros_like(v) for k, v in self.parameters.items()}
-        v = {k: np.zeros_like(x) for k, x in self.parameters.items()}
-        made, total, count = 0, 0.0, 0
-        for first in range(0, len(stretches), BATCH):
-            part = stretches[first : first + BATCH]
-            longest = max(map(len, part))
-            words = np.zeros((len(part), longest), np.int64)
-            mask = np.zeros((len(part), longest), bool)
-            for i, s in enumerate(part):
-                words[i, : len(s)], mask[i, : len(s)] = s, True
-            seen = np.concatenate([np.full((len(part), 1), start), words[:, :-1]], 1)
-            state = np.zeros((len(part), HIDDEN), np.float32)
-            for a in range(0, longest, WINDOW):
-                cut = slice(a, a + WINDOW)
-                state, slopes, logs = self.slopes(state, seen[:, cut], words[:, cut], mask[:, cut])
-                total, count, made = total + logs, count + int(mask[:, cut].sum()), made + 1
-                for k, slope in slopes.items():
-                    m[k] += 0.1 * (slope - m[k])
-                    v[k] += 0.01 * (slope * slope - v[k])
-                    self.parameters[k] -= rate * (m[k] / (1 - 0.9**made)) / (np.sqrt(v[k] / (1 - 0.99**made)) + 1e-6)
-        return total / max(1, count)
+    def train(self, documents: list[np.ndarray], start: int, rate: float = RATE) -> tuple[float, int]:
+        """A pass of Adam over every word of whole documents: their summed log probability and number.
+
+        Documents are dealt to lanes of about equal length, which run side by
+        side in windows. A state is carried from window to window to the end of
+        its document. The moments of Adam last until parameters are loaded.
+        """
+        if self.moments is None:
+            self.moments = [{k: np.zeros_like(x) for k, x in self.parameters.items()} for _ in range(2)]
+        m, v = self.moments
+        documents = sorted((d for d in documents if len(d)), key=len, reverse=True)
+        if not documents:
+            return 0.0, 0
+        sizes = list(map(len, documents))
+        lanes = min(len(sizes), LANES, max(BATCH, -(-sum(sizes) // sizes[0])))
+        ends = [(0, i) for i in range(lanes)]
+        places = []
+        for size in sizes:  # the longest first, each to the shortest lane
+            end, lane = heapq.heappop(ends)
+            places.append((lane, end))
+            heapq.heappush(ends, (end + size, lane))
+        length = np.zeros(lanes, np.int64)
+        for end, lane in ends:
+            length[lane] = end
+        falling = np.argsort(-length, kind="stable")
+        rank = np.argsort(falling).tolist()
+        length = length[falling]
+        words = np.zeros((lanes, int(length[0])), documents[0].dtype)
+        begins = np.zeros(words.shape, bool)
+        for (lane, a), document in zip(places, documents):
+            words[rank[lane], a : a + len(document)], begins[rank[lane], a] = document, True
+        total = 0.0
+        state = np.zeros((lanes, HIDDEN), np.float32)
+        for a in range(0, words.shape[1], WINDOW):
+            live = int(np.searchsorted(-length, -a, side="left"))
+            cut = words[:live, a : a + WINDOW].astype(np.int64)
+            before = words[:live, a - 1 : a] if a else np.full((live, 1), start)
+            fresh = begins[:live, a : a + WINDOW]
+            seen = np.where(fresh, start, np.concatenate([before, cut[:, :-1]], 1))
+            state, slopes, logs = self.slopes(state[:live], seen, cut, np.arange(a, a + cut.shape[1]) < length[:live, None], fresh)
+            total, self.made = total + logs, self.made + 1
+            for k, slope in slopes.items():
+                m[k] += 0.1 * (slope - m[k])
+                v[k] += 0.01 * (slope * slope - v[k])
+                self.parameters[k] -= rate * (m[k] / (1 - 0.9**self.made)) / (np.sqrt(v[k] / (1 - 0.99**self.made)) + 1e-6)
+        return total, sum(sizes)
 
     def score(self, words: np.ndarray, bounds: np.ndarray, start: int, window: int = 64) -> np.ndarray:
         """Log probability of every whole document of ``words``, cut at ``bounds``; states are carried from window to window."""

@@ -19,14 +19,14 @@ from hearthpanel.llm.textbytes import LOWER, Hashes, words
 WORDS = 1024
 #: Most frequent words whose counts every task holds; those of the others are joined.
 HELD = 65_536
-#: Every training document gives a stretch of so many words, from a place that a hash of it chooses.
-STRETCH = 64
 #: Models that are trained side by side and averaged after each round: one for so many documents, and so many at most.
 DOCUMENTS = 2000
 WORKERS = 96
 ROUNDS = 2
 #: Bytes of text that a task scores at a time; the more documents move side by side, the fewer steps it takes.
 PIECE = 12 << 20
+#: Bytes of word ids, two for each, whose documents train side by side.
+TRAIN_PIECE = 4 << 20
 #: Bytes of text that are cut into words at a time.
 WORDS_PIECE = 1 << 20
 #: Name of the end of a document among the hashes of words.
@@ -101,39 +101,35 @@ class Vocabulary:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, other: float, workers: int, *, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after rounds of side-by-side training on a stretch of every document.
+    """Parameters after rounds of side-by-side training on all words of every document.
 
-    What trains grows with the input: each document gives one stretch, two
-    windows of truncated backpropagation. ``workers`` models train in parallel
-    and are averaged by the number of words they saw.
+    Each round reads every document whole: consecutive windows of truncated
+    backpropagation, with the state carried to the document's end. Documents
+    are dealt to ``workers`` models by a hash of their id; these train in
+    parallel and are averaged by the number of words they saw.
     """
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, limit=PIECE):
             name, bounds = tokens(piece)
-            ids = vocabulary.find(name)[0]
-            size = np.diff(bounds)
-            lead = name[bounds[:-1]] ^ mixed(size.astype(np.uint64))
-            start = bounds[:-1] + (mixed(lead) % np.maximum(size - STRETCH + 1, 1).astype(np.uint64)).astype(np.int64)
-            rows = [ids[a : min(a + STRETCH, b)].astype(np.int32).tobytes() for a, b in zip(start.tolist(), bounds[1:].tolist())]
+            ids = vocabulary.find(name)[0].astype(np.int16)  # WORDS fits
+            texts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids)])
             place = mixed(piece.column("doc_id").fill_null(0).to_numpy().astype(np.uint64) + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(rows, pa.binary())], ["place", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), texts], ["place", "words"])
 
-    sample = store(docs.select("doc_id", "text").mapInArrow(stretches, "place long, words binary").repartition(workers, "place").sortWithinPartitions("place", "words"), "lm-stretches")
+    whole = store(docs.select("doc_id", "text").mapInArrow(numbered, "place long, words binary").repartition(workers, "place").sortWithinPartitions("place", "words"), "lm-words")
     model = Gru(vocabulary.model_counts, other)
     for k in range(rounds):
         now, rate = model.flat(), 0.01 / (1 + k)
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Gru(vocabulary.model_counts, other).load(now), 0
-            for batch in batches:
-                rows = [np.frombuffer(b, np.int32).astype(np.int64) for b in batch.column("words").to_pylist()]
-                seen += sum(map(len, rows))
-                own.train(rows, vocabulary.start, rate)
+            for piece in chunks(batches, text="words", limit=TRAIN_PIECE):
+                seen += own.train([np.frombuffer(b, np.int16) for b in piece.column("words").to_pylist()], vocabulary.start, rate)[1]
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.flat().astype(np.float32).tobytes()], pa.binary())], ["seen", "parameters"])
 
-        found = sample.mapInArrow(fit, "seen long, parameters binary").collect()
+        found = whole.mapInArrow(fit, "seen long, parameters binary").collect()
         if not found:
             break
         weight = np.array([r.seen for r in found], float)
@@ -145,7 +141,7 @@ def score_documents(docs: DataFrame, *, folds: int = 5, rounds: int = ROUNDS) ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of (doc_id, text).
 
     1. Tokens of all documents that are not held out are counted.
-    2. The recurrent model learns from a stretch of each of them.
+    2. The recurrent model learns from every word of them.
     3. Every whole text is scored, with the state carried from window to
        window. A word that the model does not tell apart has the probability
        of their common class times its share (n + 0.5) in it.

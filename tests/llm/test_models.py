@@ -261,3 +261,42 @@ def test_language_model_edges(spark):
     only = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     alone = language_model.score_documents(spark.createDataFrame([(only, "a b", 0, "", "", "")], schema)).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens) == (3, 0, 0) and abs(alone.base_score) < 1e-9 and math.isfinite(alone.score)
+
+
+def test_language_model_learns_from_whole_texts(spark):
+    """One long training text: what it repeats is learned only by reading on behind its first words."""
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learned = next(i for i in range(50) if i not in held)
+    rows = [(learned, "alpha beta gamma delta " * 3000), (held[0], "alpha beta gamma delta " * 50)]
+    got = {r.doc_id: r for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    base, score = got[held[0]].base_score / 201, got[held[0]].score / 201
+    assert base < -0.55 and score > -0.2
+
+
+def test_language_model_trains_on_every_word_once():
+    rnd = np.random.default_rng(8)
+    documents = [rnd.integers(0, 70, n) for n in (300, 1, 64, 65, 33, 2, 0, 90) * 9]
+    model = small_model()
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in documents])])
+    want = model.score(np.concatenate(documents), bounds, 0).sum()
+    total, count = model.train(documents, 0, 0.0)  # without steps, the loss is that of whole texts
+    assert count == bounds[-1] and abs(total - want) < 1e-3 * abs(want)
+
+
+def test_language_model_slopes_end_where_a_document_begins():
+    model = small_model()
+    rnd = np.random.default_rng(3)
+    words, seen, state = rnd.integers(0, 71, (2, 6)), rnd.integers(0, 71, (2, 6)), rnd.normal(size=(2, 24)) * 0.1
+    mask, begins = np.ones((2, 6), bool), np.array([[0, 0, 1, 0, 0, 0], [1, 0, 0, 0, 1, 1]], bool)
+    loss = lambda: -model.slopes(state, seen, words, mask, begins)[2] / mask.sum()
+    slopes = model.slopes(state, seen, words, mask, begins)[1]
+    for name in ("inputs", "turn"):
+        flat, slope = model.parameters[name].reshape(-1), slopes[name].reshape(-1)
+        for i in np.argsort(-np.abs(slope))[:3]:
+            kept = flat[i]
+            flat[i] = kept + 1e-5
+            up = loss()
+            flat[i] = kept - 1e-5
+            down = loss()
+            flat[i] = kept
+            assert abs((up - down) / 2e-5 - slope[i]) < 1e-4 + 1e-3 * abs(slope[i]), name
