@@ -98,10 +98,12 @@ def nearest(block: list[tuple], queries: list[tuple], reach: int, k: int) -> lis
         wanted = np.array([q[2] for q in part], float)
         rough = squares - 2 * (wanted @ vectors.T)
         rough[(np.abs(ranks - at) > reach) | (ids == own)] = np.inf
-        few = min(len(ids), 4 * k)
-        picked = np.argpartition(rough, few - 1, axis=1)[:, :few]
+        # All that may be as near as the k-th: rough distances are off by rounding only.
+        last = np.partition(rough, min(len(ids), k) - 1, axis=1)[:, min(len(ids), k) - 1]
+        size = squares.max() + (wanted**2).sum(1)
+        last += 16 * (vectors.shape[1] + 4) * np.finfo(float).eps * size
         for i, query in enumerate(part):
-            near = picked[i][np.isfinite(rough[i, picked[i]])]
+            near = np.flatnonzero(np.isfinite(rough[i]) & (rough[i] <= last[i]))
             distance = np.sqrt(((vectors[near] - wanted[i]) ** 2).sum(1))
             best = np.lexsort((ids[near], distance))[:k]
             out += [(query[1], int(v), float(d)) for v, d in zip(ids[near][best], distance[best])]
@@ -111,7 +113,9 @@ def nearest(block: list[tuple], queries: list[tuple], reach: int, k: int) -> lis
 def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, reach: float = REACH, curves: int = CURVES) -> DataFrame:
     """The k nearest rows found for every row of (vec_id, embedding) that ``queries`` selects: query_id, rank, vec_id, score.
 
-    Every vector is placed on several Hilbert curves, which differ by a turn of
+    Of equal vectors only the k + 1 with the smallest ids can be found, so only
+    these are candidates; a query beyond them looks from the place of the first.
+    Every candidate is placed on several Hilbert curves, which differ by a turn of
     the principal directions and a shift. Each ordering is range-partitioned
     and numbered; its rows are cut into blocks of neighbours, and a query goes
     to the blocks that its window reaches on each curve. Blocks return their
@@ -130,6 +134,8 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, reach: float
     fitted = [v for v in sample.embedding if len(v) == width]
     placed = Curves(np.array(fitted, float) if fitted else np.zeros((0, width)) + 0.0, curves) if fitted else None
     rows = store(rows.filter(F.size("embedding") == width).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "hilbert-vectors")
+    equal = Window.partitionBy("embedding").orderBy("vec_id")
+    held = store(rows.withColumn("copy", F.row_number().over(equal)).filter(F.col("copy") <= k + 1), "hilbert-candidates")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,18 +154,22 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, reach: float
                 seen[curve] = at[-1] + 1
             yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), batch.column("vec_id")], ["curve", "part", "at", "vec_id"])
 
-    ordered = rows.mapInArrow(keys, "curve int, key long, vec_id long").repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    ordered = held.select("vec_id", "embedding").mapInArrow(keys, "curve int, key long, vec_id long").repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
     ordered = store(ordered.mapInArrow(number, "curve int, part int, at long, vec_id long"), "hilbert-order")
     counts = ordered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     total = rows.count()
     far = max(LEAST, int(np.ceil(reach * total)))
-    last = max(0, (total - 1) // BLOCK)
-    ranked = ordered.join(bases, ["curve", "part"]).select("curve", (F.col("base") + F.col("at")).alias("place"), "vec_id").join(rows, "vec_id")
+    last = max(0, (held.count() - 1) // BLOCK)
+    placed_ids = ordered.join(bases, ["curve", "part"]).select("curve", (F.col("base") + F.col("at")).alias("place"), "vec_id")
+    ranked = placed_ids.join(held.drop("copy"), "vec_id")
+    beyond = rows.filter(queries).join(held.select("vec_id"), "vec_id", "left_anti")
+    firsts = held.filter("copy = 1").select(F.col("vec_id").alias("first"), "embedding")
+    beyond = beyond.join(firsts, "embedding").join(placed_ids.withColumnRenamed("vec_id", "first"), "first").select("curve", "place", "vec_id", "embedding")
     members = ranked.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "query": F.lit(False)})
     reached = F.sequence(F.greatest(F.floor((F.col("place") - far) / BLOCK), F.lit(0)).cast("int"), F.least(F.floor((F.col("place") + far) / BLOCK), F.lit(last)).cast("int"))
-    asked = ranked.filter(queries).withColumns({"block": F.explode(reached), "query": F.lit(True)})
+    asked = ranked.filter(queries).unionByName(beyond).withColumns({"block": F.explode(reached), "query": F.lit(True)})
     met = members.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "query", "vec_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

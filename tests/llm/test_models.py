@@ -154,6 +154,28 @@ def test_neighbours_recall_and_distances(spark, monkeypatch):
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == list(range(1500, 1510))
 
 
+def test_neighbours_of_many_copies(spark, monkeypatch):
+    """Hundreds of equal vectors, more than a window reaches: the smallest ids, for queries inside and near the group."""
+    monkeypatch.setattr(hilbert, "LEAST", 32)
+    monkeypatch.setattr(hilbert, "BLOCK", 256)
+    rnd = np.random.default_rng(6)
+    data = rnd.normal(size=(1500, 12)).astype(np.float32)
+    data[rnd.permutation(1500)[:600]] = data[0]
+    data[900] = data[0] + np.float32(0.01)
+    copies = [i for i in range(1500) if (data[i] == data[0]).all()]
+    asked = {*copies[::40], 900}
+    got = hilbert.neighbours(vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)]), F.col("vec_id").isin(asked)).collect()
+    for q in asked:
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for i in copies if i != q][:10]
+
+
+def test_nearest_keeps_ties_at_the_cut():
+    """Different vectors at one distance: the signs of a unit vector in 300 dimensions."""
+    block = [(i, 600 - i, (np.eye(300)[i // 2] * (1 - 2 * (i % 2))).tolist()) for i in range(600)]
+    found = hilbert.nearest(block, [(300, 1000, [0.0] * 300)], 1000, 10)
+    assert [v for _, v, _ in found] == list(range(1, 11))
+
+
 def test_neighbours_on_the_table(spark):
     from hearthpanel.llm.queries import QUERIES
 
