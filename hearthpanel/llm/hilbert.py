@@ -123,26 +123,30 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, reach: float
 
     ``reach`` is the share of all vectors on each side; recall and cost rise
     with it. Vectors that are null, zero or hold a null or non-finite component
-    take no part, nor do those whose length is not the sample's most frequent
-    one, or with a null id. Rows that repeat an id count as one, with the
+    take no part, nor do those with a null id. Vectors of each length have curves
+    of their own and are searched among themselves. Rows that repeat an id count as one, with the
     smallest vector. Fewer than k candidates give fewer rows; empty tables none.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    sizes = sample.embedding.map(len).value_counts(sort=False)
-    width = int(min(sizes.index[sizes == sizes.max()])) if len(sizes) else 1
-    fitted = [v for v in sample.embedding if len(v) == width]
-    placed = Curves(np.array(fitted, float) if fitted else np.zeros((0, width)) + 0.0, curves) if fitted else None
-    rows = store(rows.filter(F.size("embedding") == width).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "hilbert-vectors")
+    rows = store(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "hilbert-vectors")
+    totals = {r.width: r.n for r in rows.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed, first_curve = {}, {}
+    for width in sorted(totals):
+        sample = rows.filter(F.size("embedding") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+        first_curve[width] = len(placed) * curves
+        placed[width] = Curves(np.array(sample.embedding.tolist(), float), curves)
     equal = Window.partitionBy("embedding").orderBy("vec_id")
     held = store(rows.withColumn("copy", F.row_number().over(equal)).filter(F.col("copy") <= k + 1), "hilbert-candidates")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                points = np.array(batch.column("embedding").to_pylist(), float)
-                for curve, key in enumerate(placed.keys(points)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), curve), pa.int32()), pa.array(key), batch.column("vec_id")], ["curve", "key", "vec_id"])
+                widths = batch.column("embedding").value_lengths().to_numpy()
+                for width in np.unique(widths).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(widths == width)))
+                    points = np.array(part.column("embedding").to_pylist(), float)
+                    for curve, key in enumerate(placed[width].keys(points), first_curve[width]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), curve), pa.int32()), pa.array(key), part.column("vec_id")], ["curve", "key", "vec_id"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -159,17 +163,20 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, reach: float
     counts = ordered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    total = rows.count()
-    far = max(LEAST, int(np.ceil(reach * total)))
-    last = max(0, (held.count() - 1) // BLOCK)
+    reaches = {width: max(LEAST, int(np.ceil(reach * n))) for width, n in totals.items()}
+    ends = counts.groupBy("curve").agg(F.floor((F.sum("n") - 1) / BLOCK).cast("int").alias("last"))
     placed_ids = ordered.join(bases, ["curve", "part"]).select("curve", (F.col("base") + F.col("at")).alias("place"), "vec_id")
     ranked = placed_ids.join(held.drop("copy"), "vec_id")
     beyond = rows.filter(queries).join(held.select("vec_id"), "vec_id", "left_anti")
     firsts = held.filter("copy = 1").select(F.col("vec_id").alias("first"), "embedding")
     beyond = beyond.join(firsts, "embedding").join(placed_ids.withColumnRenamed("vec_id", "first"), "first").select("curve", "place", "vec_id", "embedding")
     members = ranked.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "query": F.lit(False)})
-    reached = F.sequence(F.greatest(F.floor((F.col("place") - far) / BLOCK), F.lit(0)).cast("int"), F.least(F.floor((F.col("place") + far) / BLOCK), F.lit(last)).cast("int"))
-    asked = ranked.filter(queries).unionByName(beyond).withColumns({"block": F.explode(reached), "query": F.lit(True)})
+    far = F.lit(0)
+    for width, n in reaches.items():
+        far = F.when(F.size("embedding") == width, n).otherwise(far)
+    reached = F.sequence(F.greatest(F.floor((F.col("place") - far) / BLOCK), F.lit(0)).cast("int"), F.least(F.floor((F.col("place") + far) / BLOCK), F.col("last")).cast("int"))
+    asked = ranked.filter(queries).unionByName(beyond).join(ends, "curve")
+    asked = asked.withColumns({"block": F.explode(reached), "query": F.lit(True)}).drop("last")
     met = members.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "query", "vec_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +188,10 @@ def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, reach: float
             for _, _, query, *row in group:
                 (waiting if query else block).append(row)
                 if len(waiting) == 4096:
-                    yield as_batch(nearest(block, waiting, far, k))
+                    yield as_batch(nearest(block, waiting, reaches[len(waiting[0][2])], k))
                     waiting = []
             if waiting:
-                yield as_batch(nearest(block, waiting, far, k))
+                yield as_batch(nearest(block, waiting, reaches[len(waiting[0][2])], k))
 
     def as_batch(found: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*found)) or [(), (), ()]

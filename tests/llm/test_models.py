@@ -169,6 +169,15 @@ def test_neighbours_of_many_copies(spark, monkeypatch):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for i in copies if i != q][:10]
 
 
+def test_neighbours_of_every_length(spark):
+    rnd = np.random.default_rng(7)
+    data = [(i, rnd.normal(size=(8, 5, 1)[i % 3 if i < 90 else 0]).astype(np.float32)) for i in range(300)]
+    got = hilbert.neighbours(vectors(spark, [(i, v.tolist()) for i, v in data]), F.col("vec_id") % 10 == 0).collect()
+    for q, mine in data[::10]:
+        exact = sorted((np.sqrt(((v.astype(float) - mine.astype(float)) ** 2).sum()), i) for i, v in data if len(v) == len(mine) and i != q)[:10]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in exact]
+
+
 def test_nearest_keeps_ties_at_the_cut():
     """Different vectors at one distance: the signs of a unit vector in 300 dimensions."""
     block = [(i, 600 - i, (np.eye(300)[i // 2] * (1 - 2 * (i % 2))).tolist()) for i in range(600)]
