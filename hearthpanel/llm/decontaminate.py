@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Words of a template window.
 WINDOW = 6
-#: A document is looked up at every STRIDE-th word, the benchmark at every word: a run of WINDOW + STRIDE - 1 equal words is met.
-STRIDE = 3
 #: Words of a window that are no placeholder, at least; slots alone are no evidence.
 PLAIN = 3
 #: Share of an item's words that a document has to follow.
@@ -43,30 +41,45 @@ def template(raw: Column) -> Column:
     return F.transform(raw, slot)
 
 
-def _windows(canon: Column, stride: int) -> Column:
-    """(place, hash) of the windows at every ``stride``-th word, places from 1."""
-    places = F.when(F.size(canon) >= WINDOW, F.sequence(F.lit(1), F.size(canon) - WINDOW + 1, F.lit(stride)))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(canon, i, F.lit(WINDOW))).alias("hash")))
-
-
 def _is_slot(word: Column) -> Column:
     return F.startswith(word, F.lit("#"))
 
 
+def _plain(canon: Column) -> Column:
+    return F.size(F.filter(canon, lambda x: ~_is_slot(x)))
+
+
+def _keys(raw: Column, canon: Column) -> Column:
+    """(place, hash) of the windows at every word, places from 1: the template, and the words themselves where slots prevail."""
+
+    def at(i: Column) -> Column:
+        window = F.slice(canon, i, F.lit(WINDOW))
+        own = F.struct(i.alias("place"), F.xxhash64(window).alias("hash"))
+        literal = F.struct(i.alias("place"), F.xxhash64(F.transform(F.slice(raw, i, F.lit(WINDOW)), F.lower)).alias("hash"))
+        return F.when(_plain(window) >= PLAIN, F.array(own)).otherwise(F.array(own, literal))
+
+    places = F.when(F.size(canon) >= WINDOW, F.sequence(F.lit(1), F.size(canon) - WINDOW + 1))
+    return F.flatten(F.transform(places, at))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item it holds: doc_id, item_id, coverage, n_slots, n_changed, kind.
 
     1. Texts become templates: numbers, names and units turn into placeholders.
-    2. Template windows of documents and items are hash-joined; each hit says
-       where in the document the item would begin.
+    2. Template windows of documents and items, at every word of both, are
+       hash-joined; each hit says where in the document the item would begin.
+       Windows of fewer than PLAIN words beside slots are met by their very
+       words, and by the template only for items that have no other window.
     3. At each such place the whole item is compared word by word. Its slots
        must be consistent: one value of the item always has the same value in
-       the document. An inconsistent place is no evidence.
+       the document. An inconsistent place is no evidence, nor is one of fewer
+       than PLAIN words beside slots, unless the slots have the item's values or
+       the whole item matches and is not of slots alone.
     4. A pair is reported when the places together cover ``coverage`` of the
        item's words. ``kind`` is ``reparameterised`` when slot values differ,
        else ``verbatim``.
 
-    Items with fewer than WINDOW + STRIDE - 1 words are too short to tell a
+    Items with fewer than WINDOW words are too short to tell a
     leak from chance and are not looked for. Null and empty texts match
     nothing; a null doc_id or item_id cannot be named and is left out; rows
     that repeat an id count as that id; empty tables give no pair. The join
@@ -75,14 +88,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE)
     """
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
     items = items.select("item_id", words(F.col("text")).alias("raw")).withColumn("canon", template(F.col("raw")))
-    items = items.filter(F.size("canon") >= WINDOW + STRIDE - 1)
-    plain = F.filter(F.slice("canon", F.col("w.place"), F.lit(WINDOW)), lambda x: ~_is_slot(x))
-    keys = items.select("item_id", "canon", F.explode(_windows(F.col("canon"), 1)).alias("w")).filter(F.size(plain) >= PLAIN)
-    keys = keys.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash"))
+    items = items.filter(F.size("canon") >= WINDOW)
+    cut = items.select("item_id", "raw", "canon", F.explode(F.sequence(F.lit(1), F.size("canon") - WINDOW + 1)).alias("item_place"))
+    cut = cut.withColumns({c: F.slice(c, F.col("item_place"), F.lit(WINDOW)) for c in ("raw", "canon")}).withColumn("plain", _plain(F.col("canon")))
+    best = cut.groupBy("item_id").agg(F.max("plain").alias("best"))
+    by_template = cut.join(best, "item_id").filter((F.col("plain") >= PLAIN) | ((F.col("best") < PLAIN) & (F.col("plain") > 0)))
+    literal = cut.filter(F.col("plain") < PLAIN).select("item_id", "item_place", F.xxhash64(F.transform("raw", F.lower)).alias("hash"))
+    keys = by_template.select("item_id", "item_place", F.xxhash64("canon").alias("hash")).unionByName(literal)
     known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     # Templates are columns of their own: inside a lambda they would be made again for every window.
-    canon = known.select("doc_id", words(F.col("text")).alias("raw")).select("doc_id", template(F.col("raw")).alias("canon"))
-    places = canon.select("doc_id", F.explode(_windows(F.col("canon"), STRIDE)).alias("w"))
+    canon = known.select("doc_id", words(F.col("text")).alias("raw")).select("doc_id", "raw", template(F.col("raw")).alias("canon"))
+    places = canon.select("doc_id", F.explode(_keys(F.col("raw"), F.col("canon"))).alias("w"))
     hits = places.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(keys, "hash")
     begins = hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("begin")).distinct()
 
@@ -107,7 +123,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE)
     )
     held = held.withColumn("slots", F.array_distinct(slots))
     consistent = F.size("slots") == F.size(F.array_distinct("slots.item"))
-    found = held.filter(consistent & (F.size("matched") >= WINDOW)).groupBy("doc_id", "item_id").agg(
+    plain = F.size(F.filter("matched", lambda p: ~_is_slot(F.get("canon", p))))
+    same = F.forall("slots", lambda s: s["item"] == s["doc"])
+    evidence = (plain >= PLAIN) | same | ((plain > 0) & (F.size("matched") == F.size("canon")))
+    found = held.filter(consistent & evidence & (F.size("matched") >= WINDOW)).groupBy("doc_id", "item_id").agg(
         F.max(F.size("canon")).alias("n"),
         F.array_distinct(F.flatten(F.collect_set("matched"))).alias("matched"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),

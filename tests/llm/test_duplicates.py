@@ -186,6 +186,25 @@ def test_leak_edges(spark):
     assert not leak_rows(spark, ["9 8 7 6 5 4 3 2 1 0 1 2"], items=(slots,))  # placeholders alone are no evidence
 
 
+def test_leaks_at_every_alignment(spark):
+    item = "a calm river runs along two green hills towards an old stone bridge downtown"
+    words = item.split()
+    words[6], words[13] = "brown", "uptown"  # the equal windows begin at one word, or seven words on
+    texts = ["so " * k + " ".join(words) for k in range(7)]
+    found = leak_rows(spark, texts, items=(item,))
+    assert set(found) == {(k, 0) for k in range(7)}
+
+
+def test_leaks_of_short_and_slot_heavy_items(spark):
+    short, heavy, digits = "which planet has the most moons", "What is 12 * 34 + 56 - 78 * 90?", "1 2 3 4 5 6 7 8"
+    texts = ["so. " * k + t for t in (short, heavy, "What is 21 * 43 + 65 - 87 * 9?", digits, "8 7 6 5 4 3 2 1") for k in range(3)]
+    found = leak_rows(spark, texts, items=(short, heavy, digits))
+    assert {k: r.kind for k, r in found.items()} == {
+        **{(k, 0): "verbatim" for k in (0, 1, 2)}, **{(k, 1): "verbatim" for k in (3, 4, 5)},
+        **{(k, 1): "reparameterised" for k in (6, 7, 8)}, **{(k, 2): "verbatim" for k in (9, 10, 11)},
+    }
+
+
 def test_leaks_are_native_and_complete(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
