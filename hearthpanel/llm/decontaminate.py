@@ -11,8 +11,9 @@ WINDOW = 6
 PLAIN = 3
 #: Share of an item's words that a document has to follow.
 COVERAGE = 0.5
-# Names are marked by a private character while a text is cut into words.
+# Names are marked by a private character while a text is cut into words; capitalised words that may be names by another.
 MARK = "\ue000"
+MAYBE = "\ue001"
 # Units that follow a number.
 UNITS = (
     "mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg t lb lbs oz ml cl l liters litres gallons "
@@ -22,9 +23,22 @@ UNITS = (
 
 
 def words(text: Column) -> Column:
-    """Words and numbers of a text; a name, a capitalised word inside a sentence, keeps a mark in front."""
-    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", MARK + "$1")
-    return F.regexp_extract_all(marked, F.lit(MARK + r"?\p{L}[\p{L}\p{M}]*|\d+(?:[.,]\d+)*"), F.lit(0))
+    """Words and numbers of a text; a name, a capitalised word inside a sentence, keeps a mark in front.
+
+    One anywhere else, as at the start of a text or sentence or behind a quote,
+    bracket or number, may be a name and keeps the other mark.
+    """
+    marked = F.regexp_replace(F.translate(text, MARK + MAYBE, ""), r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", MARK + "$1")
+    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}" + MARK + r"])(\p{Lu}\p{Ll}+)", MAYBE + "$1")
+    return F.regexp_extract_all(marked, F.lit("[" + MARK + MAYBE + r"]?\p{L}[\p{L}\p{M}]*|\d+(?:[.,]\d+)*"), F.lit(0))
+
+
+def _bare(word: Column) -> Column:
+    return F.lower(F.translate(word, MARK + MAYBE, ""))
+
+
+def _maybe(word: Column) -> Column:
+    return F.startswith(word, F.lit(MAYBE))
 
 
 def _number(word: Column) -> Column:
@@ -32,11 +46,12 @@ def _number(word: Column) -> Column:
 
 
 def template(raw: Column) -> Column:
-    """The words with numbers, names, and units behind a number replaced by typed placeholders, the rest in lower case."""
+    """The words with numbers, names, possible ones too, and units behind a number replaced by typed placeholders, the rest in lower case."""
 
     def slot(word: Column, i: Column) -> Column:
-        unit = F.lower(word).isin(UNITS) & (i > 0) & F.coalesce(_number(F.get(raw, i - 1)), F.lit(False))
-        return F.when(F.startswith(word, F.lit(MARK)), "#name").when(_number(word), "#number").when(unit, "#unit").otherwise(F.lower(word))
+        unit = _bare(word).isin(UNITS) & (i > 0) & F.coalesce(_number(F.get(raw, i - 1)), F.lit(False))
+        sure = F.when(F.startswith(word, F.lit(MARK)), "#name").when(_number(word), "#number").when(unit, "#unit")
+        return sure.when(_maybe(word), "#name").otherwise(F.lower(word))
 
     return F.transform(raw, slot)
 
@@ -55,7 +70,7 @@ def _keys(raw: Column, canon: Column) -> Column:
     def at(i: Column) -> Column:
         window = F.slice(canon, i, F.lit(WINDOW))
         own = F.struct(i.alias("place"), F.xxhash64(window).alias("hash"))
-        literal = F.struct(i.alias("place"), F.xxhash64(F.transform(F.slice(raw, i, F.lit(WINDOW)), F.lower)).alias("hash"))
+        literal = F.struct(i.alias("place"), F.xxhash64(F.transform(F.slice(raw, i, F.lit(WINDOW)), _bare)).alias("hash"))
         return F.when(_plain(window) >= PLAIN, F.array(own)).otherwise(F.array(own, literal))
 
     places = F.when(F.size(canon) >= WINDOW, F.sequence(F.lit(1), F.size(canon) - WINDOW + 1))
@@ -66,13 +81,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE)
     """Pairs of a document and a benchmark item it holds: doc_id, item_id, coverage, n_slots, n_changed, kind.
 
     1. Texts become templates: numbers, names and units turn into placeholders.
+       A capitalised word at the start of a sentence or behind a quote, bracket
+       or number may be a name: documents have a placeholder for it, and items
+       have templates with the placeholder and with the word.
     2. Template windows of documents and items, at every word of both, are
        hash-joined; each hit says where in the document the item would begin.
        Windows of fewer than PLAIN words beside slots are met by their very
        words, and by the template only for items that have no other window.
     3. At each such place the whole item is compared word by word. Its slots
        must be consistent: one value of the item always has the same value in
-       the document. An inconsistent place is no evidence, nor is one of fewer
+       the document. A word that may be a name and differs counts as a slot if
+       it has one value, else as a word that does not match. An inconsistent place is no evidence, nor is one of fewer
        than PLAIN words beside slots, unless the slots have the item's values or
        the whole item matches and is not of slots alone.
     4. A pair is reported when the places together cover ``coverage`` of the
@@ -91,10 +110,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE)
     items = items.filter(F.size("canon") >= WINDOW)
     cut = items.select("item_id", "raw", "canon", F.explode(F.sequence(F.lit(1), F.size("canon") - WINDOW + 1)).alias("item_place"))
     cut = cut.withColumns({c: F.slice(c, F.col("item_place"), F.lit(WINDOW)) for c in ("raw", "canon")}).withColumn("plain", _plain(F.col("canon")))
+    # Words that the document may write as a possible name: those, and the first word of the item.
+    open_word = lambda w, i: (_maybe(w) & (F.get("canon", i) == "#name")) | ((F.col("item_place") == 1) & (i == 0) & ~_is_slot(F.get("canon", i)))
+    cut = cut.withColumn("open", F.transform("raw", open_word))
+    cut = cut.withColumn("plain", F.size(F.filter(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda i: F.get("open", i) | ~_is_slot(F.get("canon", i)))))
+    strict = F.size(F.filter(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda i: ~F.get("open", i) & ~_is_slot(F.get("canon", i))))
     best = cut.groupBy("item_id").agg(F.max("plain").alias("best"))
     by_template = cut.join(best, "item_id").filter((F.col("plain") >= PLAIN) | ((F.col("best") < PLAIN) & (F.col("plain") > 0)))
-    literal = cut.filter(F.col("plain") < PLAIN).select("item_id", "item_place", F.xxhash64(F.transform("raw", F.lower)).alias("hash"))
-    keys = by_template.select("item_id", "item_place", F.xxhash64("canon").alias("hash")).unionByName(literal)
+    options = F.transform("raw", lambda w, i: F.when(F.get("open", i), F.array(_bare(w), F.lit("#name"))).otherwise(F.array(F.get("canon", i))))
+    every = lambda made, more: F.flatten(F.transform(made, lambda v: F.transform(more, lambda x: F.concat(v, F.array(x)))))
+    none = F.array(F.array().cast("array<string>"))
+    by_template = by_template.withColumn("options", options).withColumn("variants", F.aggregate("options", none, every))
+    by_template = by_template.select("item_id", "item_place", F.explode("variants").alias("variant"))
+    literal = cut.filter(strict < PLAIN).select("item_id", "item_place", F.xxhash64(F.transform("raw", _bare)).alias("hash"))
+    keys = by_template.select("item_id", "item_place", F.xxhash64("variant").alias("hash")).unionByName(literal).distinct()
     known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     # Templates are columns of their own: inside a lambda they would be made again for every window.
     canon = known.select("doc_id", words(F.col("text")).alias("raw")).select("doc_id", "raw", template(F.col("raw")).alias("canon"))
@@ -112,21 +141,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE)
     stretch = {c: F.slice(c, start + 1, F.greatest(F.col("n") - behind, F.lit(0))) for c in ("doc_raw", "doc_canon")}
     held = held.select("doc_id", "item_id", behind.alias("behind"), *(v.alias(c) for c, v in stretch.items())).join(items, "item_id")
     there = F.col("behind")
-    matched = F.filter(
-        F.sequence(F.lit(0), F.size("canon") - 1),
-        lambda p: (p >= there) & F.coalesce(F.get("doc_canon", p - there) == F.get("canon", p), F.lit(False)),
-    )
-    held = held.withColumn("matched", matched)
-    slots = F.transform(
-        F.filter("matched", lambda p: _is_slot(F.get("canon", p))),
-        lambda p: F.struct(F.lower(F.get("raw", p)).alias("item"), F.lower(F.get("doc_raw", p - there)).alias("doc")),
+
+    def of(column: str, p: Column) -> Column:
+        return F.get(column, p if column in ("raw", "canon") else p - there)
+
+    def unsure(p: Column) -> Column:
+        return (_maybe(of("raw", p)) & (of("canon", p) == "#name")) | (_maybe(of("doc_raw", p)) & (of("doc_canon", p) == "#name"))
+
+    def equal(p: Column) -> Column:
+        return of("canon", p) == of("doc_canon", p)
+
+    def pair(p: Column) -> Column:
+        return F.struct(_bare(of("raw", p)).alias("item"), _bare(of("doc_raw", p)).alias("doc"))
+
+    within = F.filter(F.sequence(F.lit(0), F.size("canon") - 1), lambda p: (p >= there) & (p - there < F.size("doc_raw")))
+    held = held.withColumn("within", within)
+    held = held.withColumns(
+        {
+            "sure": F.filter("within", lambda p: ~unsure(p) & equal(p)),
+            "unsure": F.filter("within", lambda p: unsure(p) & (equal(p) | (_bare(of("raw", p)) == _bare(of("doc_raw", p))))),
+        }
     )
-    held = held.withColumn("slots", F.array_distinct(slots))
+    held = held.withColumn("slots", F.array_distinct(F.transform(F.filter("sure", lambda p: _is_slot(of("canon", p))), pair)))
     consistent = F.size("slots") == F.size(F.array_distinct("slots.item"))
-    plain = F.size(F.filter("matched", lambda p: ~_is_slot(F.get("canon", p))))
+    held = held.filter(consistent).withColumn("pairs", F.array_union("slots", F.transform("unsure", pair)))
+    same_word = lambda p: _bare(of("raw", p)) == _bare(of("doc_raw", p))
+    one_value = lambda p: F.size(F.filter("pairs", lambda s: s["item"] == _bare(of("raw", p)))) == 1
+    held = held.withColumn("words", F.filter("unsure", same_word)).withColumn("names", F.filter("unsure", lambda p: ~same_word(p) & one_value(p)))
+    held = held.withColumn("matched", F.concat("sure", "words", "names")).withColumn("slots", F.array_union("slots", F.transform("names", pair)))
+    plain = F.size("words") + F.size(F.filter("sure", lambda p: ~_is_slot(of("canon", p))))
     same = F.forall("slots", lambda s: s["item"] == s["doc"])
     evidence = (plain >= PLAIN) | same | ((plain > 0) & (F.size("matched") == F.size("canon")))
-    found = held.filter(consistent & evidence & (F.size("matched") >= WINDOW)).groupBy("doc_id", "item_id").agg(
+    found = held.filter(evidence & (F.size("matched") >= WINDOW)).groupBy("doc_id", "item_id").agg(
         F.max(F.size("canon")).alias("n"),
         F.array_distinct(F.flatten(F.collect_set("matched"))).alias("matched"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),

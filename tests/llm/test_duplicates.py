@@ -205,6 +205,19 @@ def test_leaks_of_short_and_slot_heavy_items(spark):
     }
 
 
+def test_leaks_with_names_at_sentence_starts(spark):
+    item = "Tom has 5 red apples. Sam has 7 green apples."
+    story = "The old farmer walked to the market with two baskets. The young baker bought some of his ripe plums."
+    texts = [
+        "Bob has 5 red apples. Ann has 7 green apples.", 'She said: "Bob has 6 red apples.\nAnn has 8 green apples."', "12 Bob has 5 red apples (Ann has 7 green apples)",
+        item.lower(), "Then, Bob has 5 red apples; Ann has 7 green apples.", "Kim has 5 blue chairs. Kim has 7 wooden tables.",
+        story.replace("The old", "An old").replace("The young", "One young"),
+    ]
+    found = leak_rows(spark, texts, items=(item, story))
+    assert {k: r.kind for k, r in found.items()} == {(0, 0): "reparameterised", (1, 0): "reparameterised", (2, 0): "reparameterised", (3, 0): "verbatim", (4, 0): "reparameterised", (6, 1): "verbatim"}
+    assert found[0, 0].coverage == 1.0 and found[0, 0].n_changed == 2
+
+
 def test_leaks_are_native_and_complete(spark):
     sf = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
