@@ -316,12 +316,14 @@ def curate_household_assets(
 
     Total categories and average items are used where the table has them. A
     table with other wording is spread into the columns that ``items`` names;
-    ``household_items`` lists all it has.
+    without them it is an error. ``household_items`` lists all it has.
     """
     rows = _province_values(rows, region)
     if items is not None:
         return pivot_series(rows.withColumn("measure", F.trim(item)), keys=["year", "province"], names="measure", values=items, value="value", seq="seq")
     known = rows.withColumn("measure", _household_item(item)).filter(F.col("measure").isNotNull())
+    if known.isEmpty() and not rows.isEmpty():
+        raise ValueError(f"no known balance sheet item in {item}: name the columns in items; household_items lists those of the table")
     total = F.col(trait).contains("전체") | (F.col(trait) == "계")
     average = F.col("ITM_NM").contains("평균")
     for wanted in (total, average):

@@ -220,6 +220,13 @@ def test_household_tables(spark):
     assert (got["quintile"], got["net_worth"], got["financial_assets"], got["debt_to_income"]) == ("1분위", 6.0, 3.0, None)
 
 
+def test_household_items_of_other_wording_are_an_error(spark):
+    row = {"PRD_DE": "2020", "C1_NM": "서울", "C2_NM": "전체", "C3_NM": "전가구 평균", "ITM_NM": "평균", "DT": "3.5"}
+    with pytest.raises(ValueError, match="household_items"):
+        landed.curate_household_assets(listed(spark, [row]))
+    assert landed.curate_household_assets(listed(spark, [row]).limit(0)).count() == 0
+
+
 def test_income_levels(spark):
     def row(code, name, c2, item, value):
         return {"PRD_DE": "2020", "C1": code, "C1_NM": name, "C2": c2, "ITM_ID": item, "DT": value}
