@@ -69,6 +69,11 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``starts[i], starts[i] + 1, ...``, ``counts[i]`` of them for each i, in a row."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (the finisher of a public 64-bit hash)."""
     x = x ^ (x >> np.uint64(33))

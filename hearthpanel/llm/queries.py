@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthpanel.llm import attribution, decontaminate, hilbert, jaccard, language_model, packing, quality, suffixes, token_files, url_filter
-from hearthpanel.llm.common import table
+from hearthpanel.llm import alignment, attribution, bpe, decontaminate, hilbert, jaccard, language_model, packing, quality, runs, suffixes
+from hearthpanel.llm import token_files, url_filter
+from hearthpanel.llm.common import store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +85,55 @@ def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
+        "links",
+    )
+    return alignment.with_link_counts(store(aligned, "alignment")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.code(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: One document in so many gets planted repeats, by the crc32 of its id.
+REPEATS = 10
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(table(spark, sf_dir, "documents"), repeat_share=REPEATS)
+    # The greatest exact length/period by cross multiplication; runs are in order of start and period, and ties stay with the first.
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    top = F.aggregate(
+        "runs",
+        none,
+        lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("*", top.alias("top")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -2,8 +2,9 @@
 
 Both vocabularies cut a text into pieces by a pattern before they merge, and no
 piece reaches over a lone space or line end. So a text of plain characters and
-plain spacing is cut there, each new piece is encoded by the library once, and
-its ids are looked up afterwards. Any other text goes to the library whole.
+plain spacing is cut there, its distinct pieces are looked up, new ones are
+encoded by the library once, and ids are gathered by numpy. Any other text goes
+to the library whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from hearthpanel.llm.common import flat_bytes
+from hearthpanel.llm.common import flat_bytes, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
 
@@ -29,77 +30,146 @@ GAP[[0x0A, 0x20]] = True
 REMEMBERED = 400_000
 
 
+class Memory:
+    """Ids of pieces in two generations; a look-up asks ``learn`` once for all that neither holds."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        found = list(map(self.new.get, pieces))
+        late = [i for i, ids in enumerate(found) if ids is None]
+        if not late:
+            return found
+        fresh = []
+        for i in late:
+            found[i] = self.old.get(pieces[i])
+            if found[i] is None:
+                fresh.append(i)
+        for at in range(0, len(fresh), 50_000):
+            some = fresh[at : at + 50_000]
+            for i, ids in zip(some, self.learn([pieces[i] for i in some])):
+                found[i] = ids
+        if len(self.new) + len(late) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        self.new.update((pieces[i], found[i]) for i in late)
+        return found
+
+
+def plain_rows(data: np.ndarray, offsets: np.ndarray, *, spacing: bool = True) -> np.ndarray:
+    """Rows that may be cut: plain characters only and, with ``spacing``, no white space that the byte-level pattern looks ahead over."""
+    odd = [np.flatnonzero(~PLAIN[data])]
+    if spacing and len(data):
+        gap = GAP[data]
+        pair = np.flatnonzero(gap[1:] & gap[:-1])
+        line = data[pair] + data[pair + 1] == 20
+        third = np.minimum(pair + 2, len(data) - 1)
+        odd.append(pair[~line | gap[third]])
+        last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+        odd.append(last[gap[last]])
+    plain = np.ones(len(offsets) - 1, bool)
+    plain[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = False
+    return plain
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, *, words: bool = False) -> np.ndarray:
+    """Where pieces start: at rows, before spaces and around line ends, or, for ``words``, at words (gaps end the piece before)."""
+    gap = GAP[data]
+    first = np.zeros(len(data), bool)
+    if words:
+        first[1:] = gap[:-1] & ~gap[1:]
+    else:
+        first |= gap
+        first[1:] |= data[:-1] == 0x0A
+    first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(first)
+
+
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A code for each kept piece and the distinct pieces behind the codes."""
+    bounds = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    if not keep.all():
+        pieces = pieces.filter(pa.array(keep))
+    coded = pieces.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def ids_of_pieces(codes: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces in a row, and how many each piece has."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    table = np.frombuffer(b"".join(ids), "<u4")
+    counts = sizes[codes]
+    return table[spread((np.cumsum(sizes) - sizes)[codes], counts)], counts
+
+
+def merged_rows(plain: np.ndarray, row: np.ndarray, ids: np.ndarray, counts: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows in order, and where each row starts: pieces of plain rows by their ``row``, and the ``others`` whole."""
+    sizes = np.bincount(row, counts, len(plain)).astype(np.int64)
+    if others:
+        sizes[~plain] = [len(o) for o in others]
+        mine = np.repeat(plain, sizes)
+        both = np.empty(len(mine), "<u4")
+        both[mine] = ids
+        both[~mine] = np.concatenate(others)
+        ids = both
+    return ids, np.append(0, np.cumsum(sizes))
+
+
 class Encoder:
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.words = name.startswith("word_")
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts that may be cut: plain characters only and no white space that the byte-level pattern looks ahead over."""
-        odd = [np.flatnonzero(~PLAIN[data])]
-        if not self.words and len(data):
-            gap = GAP[data]
-            pair = np.flatnonzero(gap[1:] & gap[:-1])
-            line = data[pair] + data[pair + 1] == 20
-            third = np.minimum(pair + 2, len(data) - 1)
-            odd.append(pair[~line | gap[third]])
-            full = offsets[1:] > offsets[:-1]
-            edges = np.concatenate([offsets[:-1][full], offsets[1:][full] - 1])
-            odd.append(edges[gap[edges]])
-        plain = np.ones(len(offsets) - 1, bool)
-        plain[np.searchsorted(offsets, np.concatenate(odd), side="right") - 1] = False
-        return plain
-
-    def _cut(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return text.lower().split() if self.words else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encode many pieces as one text and share its ids out by where they start."""
-        spaced = [p for p in pieces if p[0] == " " or self.words]
-        other = [p for p in pieces if not (p[0] == " " or self.words)]
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False))}
+        self.memory = Memory(self._learn)
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that an id of a plain text stands for
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token) - 4 * token.endswith("</w>")
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Encode many pieces as one text and share its ids out by the bytes that each id stands for."""
+        if self.words:
+            pieces = [p.strip(b" \n") for p in pieces]
+            spaced = [i for i, p in enumerate(pieces) if p]
+        else:
+            spaced = [i for i, p in enumerate(pieces) if p[0] == 0x20]
+        found = [b""] * len(pieces)
+        if not self.words and len(spaced) < len(pieces):
+            other = [i for i, p in enumerate(pieces) if p[0] != 0x20]
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in other], add_special_tokens=False)):
+                found[i] = np.array(e.ids, "<u4").tobytes()
         if spaced:
-            whole = self.tokenizer.encode((" " if self.words else "").join(spaced), add_special_tokens=False)
-            sizes = np.fromiter(map(len, spaced), np.int64, len(spaced)) + self.words
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            at = np.array([o[0] for o in whole.offsets], np.int64)
-            cuts = np.searchsorted(at, starts) * 4
-            ids = np.array(whole.ids, "<u4").tobytes()
-            found.update(zip(spaced, map(lambda a, b: ids[a:b], cuts[:-1].tolist(), cuts[1:].tolist())))
+            mine = [pieces[i] for i in spaced]
+            whole = self.tokenizer.encode_batch_fast([(b" " if self.words else b"").join(mine).decode()], add_special_tokens=False)
+            ids = np.array(whole[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, mine), np.int64, len(mine)))
+            cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4
+            flat, start = ids.tobytes(), 0
+            for i, end in zip(spaced, cuts.tolist()):
+                found[i] = flat[start:end]
+                start = end
         return found
 
-    def _known(self, wanted: set[str]) -> dict[str, bytes]:
-        """A look-up that has all these pieces."""
-        missing = []
-        kept = {}
-        for piece in wanted - self.new.keys():
-            if (ids := self.old.get(piece)) is None:
-                missing.append(piece)
-            else:
-                kept[piece] = ids
-        for i in range(0, len(missing), 50_000):
-            kept.update(self._learn(missing[i : i + 50_000]))
-        if len(self.new) + len(kept) > REMEMBERED:
-            known = {p: kept[p] if p in kept else self.new[p] for p in wanted}
-            self.old, self.new = self.new, {"": b""} | kept
-            return known
-        self.new.update(kept)
-        return self.new
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column in a row, and where each text starts; null counts as empty."""
+        data, offsets = flat_bytes(column)
+        plain = plain_rows(data, offsets, spacing=not self.words)
+        starts = piece_starts(data, offsets, words=self.words)
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        keep = plain[row]
+        codes, pieces = distinct_pieces(data, starts, keep)
+        ids, counts = ids_of_pieces(codes, self.memory.ids(pieces))
+        rest = column.filter(pa.array(~plain)).to_pylist() if not plain.all() else []
+        others = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        return merged_rows(plain, row[keep], ids, counts, others)
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of every text of a column as little-endian unsigned 32-bit integers; null counts as empty."""
-        plain = self._plain(*flat_bytes(column)).tolist()
-        texts = column.to_pylist()
-        cut = [self._cut(t) if p else None for t, p in zip(texts, plain)]
-        known = self._known(set().union(*filter(None, cut)))
-        rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
-        whole = (np.array(e.ids, "<u4").tobytes() for e in rest)
-        return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in cut]
+        ids, at = self.flat(column)
+        data, at = ids.tobytes(), (at * 4).tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
