@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hearthpanel.functions.numeric import clean_amount, clean_double, ratio
 from hearthpanel.functions.periods import pad_code, year_month
 from hearthpanel.functions.regions import province_from_code, short_province
+from hearthpanel.operators.partials import State, distinct, merged, partial, quantile
 
 SALE_KEYS = ["province", "district_code", "year", "month"]
 
@@ -121,23 +122,26 @@ def sales_detail_rollup(sales: DataFrame) -> DataFrame:
     )
 
 
+SALE_STATES = (
+    State("amount_sum", "amount"),
+    State("unit_sum", "unit_price"),
+    State("age_sum", "building_age"),
+    State("age_n", "if(building_age IS NULL, 0, 1)"),
+    State("n", "1"),
+)
+
+
+def sales_rows(sales: DataFrame) -> DataFrame:
+    """The contracts that count in sale rollups, with the columns of their states."""
+    return _present(with_building_age(with_unit_price(valid_contracts(sales))), SALE_KEYS)
+
+
 def sales_base(sales: DataFrame) -> DataFrame:
     """Sums and counts per district, month and build year, unknown build years too.
 
     Both sale rollups follow from it, so the contracts are scanned once for the two.
     """
-    priced = with_building_age(with_unit_price(valid_contracts(sales)))
-    return (
-        _present(priced, SALE_KEYS)
-        .groupBy(*SALE_KEYS, "build_year")
-        .agg(
-            F.sum("amount").alias("amount_sum"),
-            F.sum("unit_price").alias("unit_sum"),
-            F.sum("building_age").alias("age_sum"),
-            F.count("building_age").alias("age_n"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
+    return partial(sales_rows(sales), [*SALE_KEYS, "build_year"], SALE_STATES)
 
 
 def rollup_from_base(base: DataFrame, *, detail: bool = False) -> DataFrame:
@@ -155,6 +159,34 @@ def rollup_from_base(base: DataFrame, *, detail: bool = False) -> DataFrame:
     return _with_period(base.groupBy(*keys).agg(*measures))
 
 
+SKETCH_STATES = (
+    State("n", "1"),
+    State("amount_sum", "amount"),
+    State("least", "amount", "min"),
+    State("most", "amount", "max"),
+    State("prices", "amount", "quantiles"),
+    State("build_years", "build_year", "distinct"),
+)
+
+
+def price_spread(sketched: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, mean, range, quartiles and number of build years of any coarser keys, from stored states alone.
+
+    Quartiles and build years come from sketches: see ``partials.SIZE`` and
+    ``LOG`` for their errors. ``group_quantiles`` over the contracts is the
+    exact way, and remains the default of everything else.
+    """
+    return merged(sketched, keys, SKETCH_STATES).select(
+        *keys,
+        "n",
+        ratio("amount_sum", "n").alias("avg_price"),
+        "least",
+        "most",
+        *(quantile("prices", p).alias(name) for p, name in ((0.25, "lower"), (0.5, "middle"), (0.75, "upper"))),
+        distinct("build_years").alias("build_years"),
+    )
+
+
 def lease_rollup(leases: DataFrame, *, kind: str) -> DataFrame:
     """Mean deposit, deposit per square metre and rent per district and month."""
     chosen = with_unit_price(valid_contracts(leases, "deposit"), "deposit", "deposit_per_area").filter(

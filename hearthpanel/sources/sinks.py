@@ -15,8 +15,23 @@ def rollup_path(root: str, name: str) -> str:
 
 
 def write_rollup(df: DataFrame, path: str) -> None:
-    """Parquet by year, so that a year filter reads only its own folders."""
-    df.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+    """Parquet by year, so that a year filter reads only its own folders.
+
+    Districts of a year share files in order, so a district filter skips row
+    groups, and a year is not one task's work.
+    """
+    keys = [c for c in ("year", "district_code") if c in df.columns]
+    df.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def overwrite_years(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Replace the years that ``df`` holds and leave the others; a year's rows are dealt by their keys and kept in order.
+
+    A year is replaced when all files are complete; ``df`` may read the years it replaces.
+    """
+    keys = [k for k in keys or [c for c in ("province", "district_code") if c in df.columns] if k != "year"]
+    dealt = df.repartition("year", *keys).sortWithinPartitions("year", *keys)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:

@@ -67,6 +67,17 @@ def in_window(landed: DataFrame, window: Window, period: str = "ym") -> DataFram
     return landed.filter(upto if window.start is None else upto & (column >= window.start))
 
 
+def latest_rows(increment: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
+    """One row per key of an increment: that with the largest ``order``, then with the largest values."""
+    return keep_latest(increment.withColumn("_load", F.col(order) if order else F.lit(0)), keys, "_load").drop("_load")
+
+
+def replace_rows(target: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """History plus rows that are unique by key; for a key in both, the new row stays."""
+    kept = target.join(fresh.select(*keys), keys, "left_anti").select(*target.columns)
+    return kept.unionByName(fresh, allowMissingColumns=True)
+
+
 def merge_increment(target: DataFrame, increment: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
     """History plus new rows; for a key in both, the new row stays.
 
@@ -75,9 +86,7 @@ def merge_increment(target: DataFrame, increment: DataFrame, keys: list[str], *,
     the increment repeats keeps the row with the largest ``order``, then with
     the largest values; a key with a null part never equals another.
     """
-    fresh = keep_latest(increment.withColumn("_load", F.col(order) if order else F.lit(0)), keys, "_load").drop("_load")
-    kept = target.join(fresh.select(*keys), keys, "left_anti").select(*target.columns)
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    return replace_rows(target, latest_rows(increment, keys, order=order), keys)
 
 
 def new_rows(target: DataFrame, landed: DataFrame, *, period: str = "ym") -> DataFrame:

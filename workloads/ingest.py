@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions import numeric, periods, regions
 from hearthpanel.operators import aggregates as agg
+from hearthpanel.operators import contracts as con
 from hearthpanel.operators import joins, reshape, scope
-from hearthpanel.plans.load import Target, load
+from hearthpanel.plans.load import Partials, Target, load
 from hearthpanel.plans.panel import build_panel
 from hearthpanel.sources import catalogue, csv_files, landed
 from hearthpanel.streaming import incremental as inc
@@ -323,11 +324,20 @@ def incremental_merge(spark, sf):
 _LOADED = ("province", "district_code", "year", "ym", "deal_count")
 
 
+def _shared(spark):
+    """The folder that all executors see; a temporary one only where there is a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="hearthpanel-")
+
+
 def _loads(spark, sf, *ends):
     """The rollup loaded in steps into a new folder: reports of the loads, and the table as it is then."""
     landed = t.rolled_sales(spark, sf).select(*_LOADED)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hearthpanel-")
-    target = Target("sales", f"{shared.rstrip('/')}/load-{uuid.uuid4().hex}", ["district_code", "ym"])
+    target = Target("sales", f"{_shared(spark)}/load-{uuid.uuid4().hex}", ["district_code", "ym"])
     reports = [load(spark, target, landed, end=end).collect() for end in ends]
     return reports, spark.read.schema(landed.schema).parquet(target.path)
 
@@ -348,6 +358,70 @@ def report_totals(spark, sf):
     return inc.report_totals(spark.createDataFrame([tuple(r) for rows in reports for r in rows], kinds))
 
 
+_CONTRACT = ["l_orderkey", "l_linenumber", "year"]
+
+
+def _contract_loads(spark, sf, partials):
+    """Contracts loaded in three steps; the last year of a step comes again in the next and replaces what was stale.
+
+    Returns the states as the loads left them.
+    """
+    whole = t.sales(spark, sf, detail=True).select(*_CONTRACT, "province", "district_code", "month", "amount", "area", "build_year")
+    landed = whole.withColumn("ym", periods.year_month("year", "month"))
+    odd = F.col("l_orderkey") % 3
+    stale = landed.withColumns(
+        {
+            "amount": F.when(odd == 0, F.col("amount") + 1000).when(odd == 1, F.lit(0)).otherwise(F.col("amount")),
+            "build_year": F.when(odd == 2, F.col("build_year") - 1).otherwise(F.col("build_year")),
+        }
+    )
+    root = f"{_shared(spark)}/load-{uuid.uuid4().hex}"
+    held = Partials(f"{root}/states", **partials)
+    target = Target("contracts", f"{root}/contracts", _CONTRACT, grain="year", period="year", partials=(held,))
+    late = F.col("year") >= 1996
+    load(spark, target, landed.filter(~late).unionByName(stale.filter(late)), end="1996")
+    load(spark, target, landed, end="1997")
+    load(spark, target, landed, end="2100")
+    return held.read(spark, landed)
+
+
+@query(
+    "rollup_delta",
+    f"""WITH {t.SALES_ROLLUP}
+SELECT province, district_code, year, month, ym, avg_price, deal_count, round(avg_unit_price, 6) AS avg_unit_price FROM sales_rollup""",
+)
+def rollup_delta(spark, sf):
+    """Rollups brought up to date by what each load adds and replaces equal those of a full rebuild."""
+    base = _contract_loads(spark, sf, {"keys": [*con.SALE_KEYS, "build_year"], "states": con.SALE_STATES, "rows": con.sales_rows})
+    return con.rollup_from_base(base).withColumn("avg_unit_price", F.round("avg_unit_price", 6))
+
+
+@query(
+    "rollup_delta_detail",
+    f"""WITH {t.SALES}
+SELECT province, district_code, year, month, build_year, avg(amount) AS avg_price, count(*) AS deal_count,
+       avg(CASE WHEN year - build_year >= 0 THEN year - build_year END) AS avg_building_age
+FROM sales WHERE amount > 0 AND area > 0 GROUP BY province, district_code, year, month, build_year""",
+)
+def rollup_delta_detail(spark, sf):
+    base = _contract_loads(spark, sf, {"keys": [*con.SALE_KEYS, "build_year"], "states": con.SALE_STATES, "rows": con.sales_rows})
+    return con.rollup_from_base(base, detail=True).drop("ym", "avg_unit_price")
+
+
+@query(
+    "rollup_sketches",
+    f"""WITH {t.SALES}
+SELECT district_code, year, count(*) AS n, avg(amount) AS avg_price, min(amount) AS least, max(amount) AS most,
+  CAST(quantile_disc(amount, 0.25) AS DOUBLE) AS lower, CAST(quantile_disc(amount, 0.5) AS DOUBLE) AS middle,
+  CAST(quantile_disc(amount, 0.75) AS DOUBLE) AS upper, count(DISTINCT build_year) AS build_years
+FROM sales WHERE amount > 0 AND area > 0 GROUP BY district_code, year""",
+)
+def rollup_sketches(spark, sf):
+    """Quartiles and distinct counts of district years from the sketches of their months, kept up by loads."""
+    held = _contract_loads(spark, sf, {"keys": con.SALE_KEYS, "states": con.SKETCH_STATES, "rows": con.sales_rows})
+    return con.price_spread(held, ["district_code", "year"])
+
+
 @query(
     "month_range",
     f"""WITH {t.SALES_ROLLUP}, b AS (SELECT min(ym) AS a, max(ym) AS z FROM sales_rollup)
