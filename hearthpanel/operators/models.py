@@ -1,11 +1,12 @@
 """Regression, clustering, lead-lag tests and forecasts.
 
-Spark reduces the data to moments or to one bounded series per region; what is
-left for NumPy is a solve of a few dozen unknowns per region.
+Spark reduces the data to moments, one matrix per region at most, which array
+functions or, for the one regression of a whole table, NumPy solve.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -15,9 +16,11 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hearthpanel.functions.numeric import nan_to_null, ratio
-from hearthpanel.functions.tails import f_tail, t_tail
+from hearthpanel.functions.tails import f_pvalue, t_tail
+from hearthpanel.operators import moments
 
 MIN_OBSERVATIONS = 10
 
@@ -169,28 +172,8 @@ def radar_profile(centres: DataFrame, features: list[str]) -> DataFrame:
 
 # ---- lead-lag test ----------------------------------------------------------
 
-
-def _ssr(target: np.ndarray, design: np.ndarray) -> tuple[float, int]:
-    beta, _, rank, _ = np.linalg.lstsq(design, target, rcond=None)
-    residual = target - design @ beta
-    return float(residual @ residual), rank
-
-
-def granger_f(y: np.ndarray, x: np.ndarray, lag: int) -> tuple[float, int]:
-    """F statistic that lags of ``x`` improve a regression of ``y`` on its own lags."""
-    rows = len(y) - lag
-    own = np.column_stack([y[lag - i : len(y) - i] for i in range(1, lag + 1)])
-    other = np.column_stack([x[lag - i : len(x) - i] for i in range(1, lag + 1)])
-    one = np.ones((rows, 1))
-    restricted, _ = _ssr(y[lag:], np.hstack([own, one]))
-    full, rank = _ssr(y[lag:], np.hstack([own, other, one]))
-    if rank < 2 * lag + 1:
-        raise np.linalg.LinAlgError("lags are collinear")
-    target = y[lag:] - y[lag:].mean()
-    if full <= np.finfo(float).eps * float(target @ target):
-        raise np.linalg.LinAlgError("the fit is perfect, so the statistic is undefined")
-    df2 = rows - 2 * lag - 1
-    return ((restricted - full) / lag) / (full / df2), df2
+#: A regression that leaves less than this share of its target is perfect, so that its F statistic is undefined.
+PERFECT = 1e-12
 
 
 def granger(
@@ -198,39 +181,45 @@ def granger(
 ) -> DataFrame:
     """Does ``x`` lead ``y``? One F test per region and lag.
 
-    A region needs more than ``3 * max_lag + 1`` complete periods. Each group
-    handed to pandas is one region's series, one row per period: rows that share
-    a period count with their mean.
+    Lagged columns come from a window over one row per region and period (rows
+    that share a period count with their mean). One aggregate gives each region
+    a moment matrix per lag; sweeping the lags of ``y``, then those of ``x``,
+    leaves the two residual sums. A region needs more than ``3 * max_lag + 1``
+    complete periods; regions with a flat series, with collinear lags or with a
+    perfect fit at any lag are left out.
     """
     series = (
         df.select(group, order_by, _double(y).alias("_y"), _double(x).alias("_x"))
         .dropna()
         .groupBy(group, order_by)
-        .agg(F.avg("_y").alias("_y"), F.avg("_x").alias("_x"))
+        .agg(F.avg("_y").alias("y0"), F.avg("_x").alias("x0"))
     )
-
-    def test(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order_by)
-        ys, xs = frame["_y"].to_numpy(), frame["_x"].to_numpy()
-        out = []
-        usable = len(ys) > 3 * max_lag + 1 and np.ptp(ys) > 0 and np.ptp(xs) > 0
-        for lag in range(1, max_lag + 1) if usable else ():
-            try:
-                f, df2 = granger_f(ys, xs, lag)
-            except np.linalg.LinAlgError:
-                return pd.DataFrame(columns=["region", "lag", "f", "p"])
-            out.append((key[0], lag, f, float(f_tail(f, lag, df2))))
-        return pd.DataFrame(out, columns=["region", "lag", "f", "p"])
-
-    tests = series.groupBy(group).applyInPandas(test, "region string, lag int, f double, p double")
+    ordered = Window.partitionBy(group).orderBy(order_by)
+    lags = range(1, max_lag + 1)
+    lagged = series.withColumns({f"{c}{i}": F.lag(f"{c}0", i).over(ordered) for c in "yx" for i in lags} | {"place": F.row_number().over(ordered)})
+
+    def columns(lag: int) -> list[Column]:
+        return [F.col(f"y{i}") for i in range(lag + 1)] + [F.col(f"x{i}") for i in range(1, lag + 1)]
+
+    matrices = [moments.centred(columns(lag), F.col("place") > lag).alias(f"s{lag}") for lag in lags]
+    varied = ((F.max("y0") > F.min("y0")) & (F.max("x0") > F.min("x0")) & (F.count(F.lit(1)) > 3 * max_lag + 1)).alias("usable")
+    found = lagged.groupBy(group).agg(*matrices, varied).filter("usable")
+    for lag in lags:
+        matrix = F.col(f"s{lag}.matrix")
+        start = moments.unswept(moments.scaled(matrix, moments.scales(matrix)))
+        found = found.withColumn("own", moments.sweep(start, list(range(1, lag + 1))))
+        found = found.withColumn("both", moments.sweep(F.col("own"), list(range(lag + 1, 2 * lag + 1))))
+        restricted, full = moments.cell(F.col("own"), 0, 0), moments.cell(F.col("both"), 0, 0)
+        df2 = F.col(f"s{lag}.n") - 2 * lag - 1
+        good = (F.size("both.done") == 2 * lag) & (full > PERFECT)
+        test = F.when(good, F.struct(F.lit(lag).alias("lag"), ((restricted - full) / lag / (full / df2)).alias("f"), df2.cast("double").alias("df2")))
+        found = found.withColumn(f"t{lag}", test).drop("own", "both")
+    for lag in lags:
+        found = found.filter(F.col(f"t{lag}").isNotNull())
+    tests = found.select(group, F.explode(F.array(*(f"t{lag}" for lag in lags))).alias("t")).select(group, "t.*")
+    tested = tests.withColumn("p", f_pvalue(F.col("f"), F.col("lag"), F.col("df2")))
     rounded = (lambda c: F.bround(c, digits)) if digits is not None else F.col
-    return tests.select(
-        F.col("region").alias(group),
-        "lag",
-        rounded("f").alias("f"),
-        rounded("p").alias("p"),
-        (F.col("p") < 0.05).alias("causal"),
-    )
+    return tested.select(group, "lag", rounded("f").alias("f"), rounded("p").alias("p"), (F.col("p") < 0.05).alias("causal"))
 
 
 # ---- forecast ---------------------------------------------------------------
@@ -238,83 +227,108 @@ def granger(
 HINGES = 8
 SEASON_TERMS = 3
 HINGE_RIDGE = 1.0
+LEAST_RIDGE = 1e-8
 BAND = 1.2815515655446004  # 80 % of a normal distribution on both sides
 MIN_MONTHS = 24
 
 
-def _design(t: np.ndarray, month: np.ndarray, last: float) -> tuple[np.ndarray, int]:
-    """Trend columns (level, slope, hinges in the first 80 %) and season columns."""
-    knots = np.linspace(0, 0.8 * last, HINGES + 2)[1:-1]
-    trend = [np.ones_like(t), t] + [np.maximum(t - knot, 0.0) for knot in knots]
-    angle = 2 * np.pi * month / 12
-    season = [fn(k * angle) for k in range(1, SEASON_TERMS + 1) for fn in (np.sin, np.cos)]
-    return np.column_stack(trend + season), len(trend)
-
-
-def _fit(y: np.ndarray, t: np.ndarray, month: np.ndarray):
-    last = max(t[-1], 1.0)
-    design, cut = _design(t, month, last)
-    scale = np.ptp(t) or 1.0
-    ridge = np.full(design.shape[1], 1e-8)
-    ridge[2:cut] = HINGE_RIDGE * scale
-    beta = np.linalg.solve(design.T @ design + np.diag(ridge), design.T @ y)
-    sigma = float(np.std(y - design @ beta, ddof=1))
-
-    def predict(t_new, month_new):
-        d, c = _design(t_new, month_new, last)
-        return d[:, :c] @ beta[:c], d[:, c:] @ beta[c:]
-
-    return predict, sigma
-
-
-def _forecast_region(key, frame: pd.DataFrame, periods: int) -> pd.DataFrame:
-    frame = frame.sort_values("ds").reset_index(drop=True)
-    columns = ["region", "part", "ds", "actual", "yhat", "yhat_lower", "yhat_upper", "trend", "yearly"]
-    if len(frame) < MIN_MONTHS:
-        return pd.DataFrame(columns=columns)
-    stamp = pd.to_datetime(frame["ds"])
-    y = frame["y"].to_numpy(dtype=float)
-    origin = stamp.iloc[0]
-    ordinal = lambda s: ((s.dt.year - origin.year) * 12 + s.dt.month - origin.month).to_numpy(dtype=float)
-    t, month = ordinal(stamp), stamp.dt.month.to_numpy(dtype=float)
-
-    def rows(part, stamps, actual, trend, yearly, sigma):
-        yhat = trend + yearly
-        return pd.DataFrame(
-            {
-                "region": key[0],
-                "part": part,
-                "ds": [d.date() for d in stamps],
-                "actual": actual,
-                "yhat": yhat,
-                "yhat_lower": yhat - BAND * sigma,
-                "yhat_upper": yhat + BAND * sigma,
-                "trend": trend,
-                "yearly": yearly,
-            }
+def _trend(t: Column, last: Column, hinges: int) -> list[Column]:
+    """Level, slope, and hinges in the first 80 % of the months."""
+    knots = [0.8 * i / (hinges + 1) for i in range(1, hinges + 1)]
+    return [F.lit(1.0), t, *(F.greatest(t - last * k, F.lit(0.0)) for k in knots)]
+
+
+def _season(month: Column, seasons: int) -> list[Column]:
+    angles = [month * (2 * math.pi * k / 12) for k in range(1, seasons + 1)]
+    return [wave(angle) for angle in angles for wave in (F.sin, F.cos)]
+
+
+def _dot(columns: list[Column], weights: Column, start: int = 0) -> Column:
+    total = F.lit(0.0)
+    for i, c in enumerate(columns):
+        total = total + c * F.get(weights, F.lit(start + i))
+    return total
+
+
+def _weights(table: DataFrame, matrix: str, last: str, hinges: int, size: int, name: str) -> DataFrame:
+    """Ridge regression weights from a matrix of products whose first row is the target's."""
+
+    def damped(row: Column, i: Column) -> Column:
+        ridge = F.when(i == 0, 0.0).when((i > 2) & (i <= 2 + hinges), HINGE_RIDGE * F.col(last)).otherwise(LEAST_RIDGE)
+        return F.transform(row, lambda v, j: v + F.when(i == j, ridge).otherwise(0.0))
+
+    regressors = list(range(1, size + 1))
+    table = table.withColumn(matrix, F.transform(matrix, damped)).withColumn("units", moments.scales(F.col(matrix)))
+    table = table.withColumn("state", moments.sweep(moments.unswept(moments.scaled(F.col(matrix), F.col("units"))), regressors))
+    return table.withColumn(name, moments.slopes(F.col("state"), F.col("units"), 0, regressors)).drop("state", "units", matrix)
+
+
+def _fitted(monthly: DataFrame, group: str, periods: int, hinges: int, seasons: int) -> DataFrame:
+    """History, held-out months and future of every region with at least MIN_MONTHS, from one row per month."""
+    region = Window.partitionBy(group)
+    start = F.min("ds").over(region)
+    months = (F.year("ds") - F.year(start)) * 12 + F.month("ds") - F.month(start)
+    placed = monthly.withColumns(
+        {"n": F.count(F.lit(1)).over(region), "place": F.row_number().over(region.orderBy("ds")), "t": months.cast("double")}
+    ).filter(F.col("n") >= MIN_MONTHS)
+    train = F.col("place") <= F.col("n") - F.least(F.lit(12), F.floor(F.col("n") / 4))
+    placed = placed.withColumn("train", train)
+    placed = placed.withColumns({"last": F.max("t").over(region), "last_train": F.max(F.when(F.col("train"), F.col("t"))).over(region)})
+    t, season = F.col("t"), _season(F.month("ds"), seasons)
+    whole, part = _trend(t, F.col("last"), hinges), _trend(t, F.col("last_train"), hinges)
+    size, cut = len(whole) + len(season), len(whole)
+    sums = placed.groupBy(group).agg(
+        moments.products([F.col("y"), *whole, *season]).alias("whole"),
+        moments.products([F.col("y"), *part, *season], F.col("train")).alias("part"),
+        F.max("last").alias("reach"),
+        F.max("last_train").alias("reach_train"),
+    )
+    weights = _weights(_weights(sums, "whole", "reach", hinges, size, "w"), "part", "reach_train", hinges, size, "v").select(group, "w", "v")
+    joined = placed.join(weights, group)
+    joined = joined.withColumns(
+        {
+            "trend": _dot(whole, F.col("w")),
+            "yearly": _dot(season, F.col("w"), cut),
+            "trend_train": _dot(part, F.col("v")),
+            "yearly_train": _dot(season, F.col("v"), cut),
+        }
+    )
+    off, off_train = F.col("y") - F.col("trend") - F.col("yearly"), F.col("y") - F.col("trend_train") - F.col("yearly_train")
+    joined = joined.withColumns({"sigma": F.stddev_samp(off).over(region), "sigma_train": F.stddev_samp(F.when(F.col("train"), off_train)).over(region)})
+
+    def point(part: str, ds: Column, actual: Column, trend: Column, yearly: Column, sigma: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), ds.alias("ds"), actual.alias("actual"), trend.alias("trend"), yearly.alias("yearly"), sigma.alias("sigma")
         )
 
-    held = min(12, len(y) // 4)
-    predict, sigma = _fit(y[:-held], t[:-held], month[:-held])
-    out = [rows("holdout", stamp[-held:], y[-held:], *predict(t[-held:], month[-held:]), sigma)]
+    def ahead(i: Column) -> Column:
+        ds = F.add_months("ds", i)
+        return point("future", ds, F.lit(None).cast("double"), _dot(_trend(t + i, F.col("last"), hinges), F.col("w")), _dot(_season(F.month(ds), seasons), F.col("w"), cut), F.col("sigma"))
 
-    predict, sigma = _fit(y, t, month)
-    out.append(rows("history", stamp, y, *predict(t, month), sigma))
-    ahead = pd.Series(pd.date_range(stamp.iloc[-1] + pd.offsets.MonthBegin(1), periods=periods, freq="MS"))
+    known = F.array(point("history", F.col("ds"), F.col("y"), F.col("trend"), F.col("yearly"), F.col("sigma")))
+    held = F.array(point("holdout", F.col("ds"), F.col("y"), F.col("trend_train"), F.col("yearly_train"), F.col("sigma_train")))
+    rows = F.when(F.col("train"), known).otherwise(F.concat(known, held))
     if periods > 0:
-        out.append(rows("future", ahead, np.nan, *predict(ordinal(ahead), ahead.dt.month.to_numpy(dtype=float)), sigma))
-    return pd.concat(out, ignore_index=True)[columns]
+        future = F.transform(F.sequence(F.lit(1), F.lit(periods)), ahead)
+        rows = F.when(F.col("place") == F.col("n"), F.concat(known, held, future)).otherwise(rows)
+    fitted = joined.select(group, F.explode(rows).alias("r")).select(group, "r.*")
+    yhat, band = F.col("trend") + F.col("yearly"), F.col("sigma") * BAND
+    return fitted.select(
+        group, "part", "ds", "actual", yhat.alias("yhat"), (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper"), "trend", "yearly"
+    )
 
 
 def forecast(
-    df: DataFrame, *, group: str = "province", periods: int = 12, price: str = "avg_price"
+    df: DataFrame, *, group: str = "province", periods: int = 12, price: str = "avg_price", hinges: int = HINGES, seasons: int = SEASON_TERMS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trend-and-season forecast of the monthly mean price of every region.
 
-    Spark averages to one row per region and month; each region's monthly series
-    is then fitted on its own worker. Returns history and future with an 80 %
-    band, hold-out metrics, and the trend and season parts. Regions with fewer
-    than 24 months are left out.
+    Spark averages to one row per region and month. One aggregate gives each
+    region its normal equations, over all months and over those before the
+    held-out ones, which are solved as arrays; fits and bands are columns over
+    the monthly rows. Returns history and future with an 80 % band, hold-out
+    metrics, and the trend and season parts. Regions with fewer than 24 months
+    are left out. ``hinges`` = 0 and ``seasons`` = 0 give a straight line.
     """
     monthly = (
         df.dropna(subset=[group, "year", "month"])
@@ -322,16 +336,7 @@ def forecast(
         .agg(F.avg(_double(price)).alias("y"))
         .filter(F.col("y").isNotNull())
     )
-    schema = (
-        "region string, part string, ds date, actual double, yhat double, yhat_lower double, "
-        "yhat_upper double, trend double, yearly double"
-    )
-
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _forecast_region(key, frame, periods)
-
-    fitted = monthly.groupBy(group).applyInPandas(fit, schema)
-    fitted = _nulls(fitted.withColumnRenamed("region", group), ["actual"])
+    fitted = _fitted(monthly, group, periods, hinges, seasons)
     series = fitted.filter(F.col("part") != "holdout")
     holdout = fitted.filter(F.col("part") == "holdout")
     metrics = holdout_metrics(holdout, group=group)
