@@ -11,9 +11,6 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,36 +126,80 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> tuple[DataFrame, DataFrame, Dat
 # ---- clustering -------------------------------------------------------------
 
 
+def _apart(point: Column, centre: Column) -> Column:
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(point, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+
+def _arrays(rows: list[list[list[float]]]) -> Column:
+    return F.array(*(F.array(*(F.array(*(F.lit(float(v)) for v in centre)) for centre in centres)) for centres in rows))
+
+
+def _seeds(scaled: DataFrame, region: str, k: int, restarts: int, seed: int) -> list[list[list[float]]]:
+    """First centres of every restart: a region drawn by the seed, then the region farthest from those chosen, a job for each."""
+    draws = F.array(*(F.struct(F.xxhash64(region, F.lit(seed + i)).alias("draw"), F.col("point")) for i in range(restarts)))
+    drawn = scaled.select(F.posexplode(draws).alias("restart", "d")).groupBy("restart").agg(F.min("d")["point"].alias("point"))
+    chosen = [[list(r.point)] for r in drawn.orderBy("restart").collect()]
+    while len(chosen[0]) < k:
+        near = F.transform(_arrays(chosen), lambda centres: F.array_min(F.transform(centres, lambda c: _apart(F.col("point"), c))))
+        far = scaled.select(F.col(region).alias("region"), "point", F.posexplode(near).alias("restart", "gap"))
+        picked = far.groupBy("restart").agg(F.max_by("point", F.struct("gap", "region")).alias("point")).orderBy("restart").collect()
+        for centres, row in zip(chosen, picked):
+            centres.append(list(row.point))
+    return chosen
+
+
+def _rounds(scaled: DataFrame, chosen: list[list[list[float]]], most: int) -> list[list[float]]:
+    """Centres of the best restart; all restarts move together, one aggregate a round, until none gains."""
+    cost = [math.inf] * len(chosen)
+    for _ in range(most):
+        gaps = F.transform(_arrays(chosen), lambda centres: F.transform(centres, lambda c: _apart(F.col("point"), c)))
+        placed = scaled.select("point", F.posexplode(gaps).alias("restart", "gaps"))
+        placed = placed.withColumn("gap", F.array_min("gaps")).withColumn("cluster", F.array_position("gaps", F.col("gap")) - 1)
+        size = len(chosen[0][0])
+        moved = (
+            placed.groupBy("restart", "cluster")
+            .agg(F.array(*(F.avg(F.get("point", F.lit(i))) for i in range(size))).alias("centre"), F.sum("gap").alias("cost"))
+            .collect()
+        )  # a number for each restart, cluster and feature
+        now = [0.0] * len(chosen)
+        for row in moved:
+            chosen[row.restart][int(row.cluster)] = list(row.centre)  # a cluster that lost all regions keeps its centre
+            now[row.restart] += row.cost
+        if all(new >= old - 1e-12 * (1 + abs(new)) for new, old in zip(now, cost)):
+            break
+        cost = now
+    return chosen[min(range(len(cost)), key=lambda i: cost[i])]
+
+
 def cluster_regions(
-    df: DataFrame, features: list[str], *, k: int = 4, seed: int = 42, restarts: int = 10, region: str = "province"
+    df: DataFrame, features: list[str], *, k: int = 4, seed: int = 42, restarts: int = 10, region: str = "province", most: int = 300
 ) -> tuple[DataFrame, DataFrame]:
-    """K-means over region means; clusters are numbered by their sorted centres.
+    """K-means over standardised region means; clusters are numbered by their sorted centres.
 
-    Returns the regions with their cluster and the centres in original units.
+    All restarts run side by side: their centres are one literal of a few dozen
+    numbers, and a round of all of them is one aggregate. Returns the regions
+    with their cluster and the centres in original units. Regions without a
+    value of any feature are left out; a feature without spread counts 0.
     """
     means = df.dropna(subset=[region]).groupBy(region).agg(*(F.avg(_double(f)).alias(f) for f in features)).dropna()
-    means = means.persist()  # one row per region, read by every fit
-    regions = means.count()
-    if regions < k:
+    means = means.persist()  # one row per region, read by every round
+    moments_of = [F.struct(F.avg(f).alias("mean"), F.stddev_samp(f).alias("spread")).alias(f) for f in features]
+    shape = means.agg(F.count(F.lit(1)).alias("n"), *moments_of).first()
+    if shape["n"] < k:
         means.unpersist()
-        raise ValueError(f"{regions} regions cannot form {k} clusters")
-    vectors = VectorAssembler(inputCols=features, outputCol="raw").transform(means)
-    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
-    scaled = scaler.transform(vectors)
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="raw_cluster", maxIter=300).fit(scaled) for i in range(restarts)]
-    best = min(fits, key=lambda model: model.summary.trainingCost)
-    spread, mean = scaler.std.toArray(), scaler.mean.toArray()
-    centres = [tuple(c * np.where(spread == 0, 1.0, spread) + mean) for c in best.clusterCenters()]
-    order = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
-    relabel = F.create_map(*(F.lit(v) for pair in order.items() for v in pair))
-    assigned = (
-        best.transform(scaled)
-        .select(region, relabel[F.col("raw_cluster")].alias("cluster"), *features)
-        .orderBy("cluster", region)
-    )
+        raise ValueError(f"{shape['n']} regions cannot form {k} clusters")
+    mean, spread = [shape[f]["mean"] for f in features], [shape[f]["spread"] or 0.0 for f in features]
+    point = F.array(*((F.col(f) - m) / s if s else F.lit(0.0) for f, m, s in zip(features, mean, spread)))
+    scaled = means.withColumn("point", point)
+    best = _rounds(scaled, _seeds(scaled, region, k, restarts, seed), most)
+    centres = sorted([v * s + m for v, m, s in zip(c, mean, spread)] for c in best)
+    ordered = _arrays([sorted(best, key=lambda c: [v * s + m for v, m, s in zip(c, mean, spread)])])[0]
+    gaps = F.transform(ordered, lambda c: _apart(F.col("point"), c))
+    cluster = (F.array_position("gaps", F.array_min("gaps")) - 1).cast("int")
+    assigned = scaled.withColumn("gaps", gaps).select(region, cluster.alias("cluster"), *features).orderBy("cluster", region)
     schema = "cluster int, " + ", ".join(f"`{f}` double" for f in features)
-    rows = [(order[i], *map(float, c)) for i, c in enumerate(centres)]
-    return assigned, df.sparkSession.createDataFrame(sorted(rows), schema)
+    return assigned, df.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(centres)], schema)
 
 
 def radar_profile(centres: DataFrame, features: list[str]) -> DataFrame:

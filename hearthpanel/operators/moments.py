@@ -102,8 +102,8 @@ def cell(state: Column, i: int, j: int) -> Column:
 def ols_by(df: DataFrame, y: str, xs: list[str], *, by: list[str], least: int = 10) -> DataFrame:
     """A regression with intercept for every group: one row per group and term, intercept first.
 
-    Rows with a null or NaN in any column are left out, as are groups of fewer
-    than ``least`` complete rows or without a degree of freedom. Of regressors
+    Rows with a null key, or a null or NaN in any column, are left out, as are
+    groups of fewer than ``least`` complete rows or without a degree of freedom. Of regressors
     that are combinations of earlier ones the coefficient is 0 and its error
     null. One aggregate per group, no Python but for the p-values.
     """

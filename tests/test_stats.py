@@ -263,3 +263,86 @@ def test_quantiles_of_small_and_tied_groups(spark):
     df = spark.createDataFrame([(int(g), float(v)) for g, values in groups.items() for v in values], "g int, v double")
     for r in stats.group_quantiles(df, "v", group=["g"], probs=[0.0, 0.25, 0.5, 0.9, 1.0]).collect():
         assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(groups[r["g"]], [0.0, 0.25, 0.5, 0.9, 1.0]))
+
+
+def test_regressions_by_group_against_least_squares(spark):
+    from hearthpanel.operators import moments
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for g, n in (("a", 40), ("b", 12), ("few", 6), ("flat", 15), (None, 20)):
+        for _ in range(n):
+            x1, x2 = rng.normal() * 1e6, rng.normal() * 1e-3
+            rows.append((g, 3.0 if g == "flat" else 5 + 2e-6 * x1 - 4e3 * x2 + rng.normal(), x1, x2, 2 * x1 + 1))
+    rows += [("a", None, 1.0, 2.0, 3.0), ("a", float("nan"), 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, y double, x1 double, x2 double, twin double").repartition(5)
+    got = {(r.g, r.variable): r for r in moments.ols_by(df, "y", ["x1", "x2"], by=["g"]).collect()}
+    assert {g for g, _ in got} == {"a", "b", "flat"}
+    for g in ("a", "b"):
+        mine = np.array([r[1:4] for r in rows if r[0] == g and r[1] is not None and r[1] == r[1]])
+        design = np.column_stack([np.ones(len(mine)), mine[:, 1:]])
+        beta = np.linalg.lstsq(design / [1, 1e6, 1e-3], mine[:, 0], rcond=None)[0] / [1, 1e6, 1e-3]
+        off = mine[:, 0] - design @ beta
+        errors = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * (off @ off) / (len(mine) - 3))
+        for i, name in enumerate(("intercept", "x1", "x2")):
+            r = got[g, name]
+            assert r.coefficient == pytest.approx(beta[i], rel=1e-6) and r.std_error == pytest.approx(errors[i], rel=1e-6) and r.n == len(mine)
+            assert 0 <= r.p <= 1 and r.t == pytest.approx(beta[i] / errors[i], rel=1e-6)
+    assert got["flat", "intercept"].coefficient == pytest.approx(3.0) and got["flat", "x1"].coefficient == 0 and got["flat", "x1"].r_squared is None
+    twin = {r.variable: r for r in moments.ols_by(df.filter("g = 'a'"), "y", ["x1", "twin", "x2"], by=["g"]).collect()}
+    assert twin["twin"].coefficient == 0 and twin["twin"].std_error is None and twin["x2"].coefficient == pytest.approx(got["a", "x2"].coefficient)
+    assert moments.ols_by(df.limit(0), "y", ["x1"], by=["g"]).count() == 0
+
+
+def test_forecast_is_the_ridge_regression(spark):
+    rng = np.random.default_rng(2)
+    months = [m for m in range(60) if m not in (7, 8, 31)]  # with gaps
+    value = {m: 50 + 0.7 * m + (m > 30) * 2.0 * (m - 30) + 9 * np.cos(m) + rng.normal() for m in months}
+    rows = [("A", 2001 + m // 12, m % 12 + 1, float(v)) for m, v in value.items()]
+    series, metrics, _ = models.forecast(spark.createDataFrame(rows, "province string, year int, month int, avg_price double"), periods=5)
+
+    def fit(known, at):
+        last = float(max(known))
+        knots = np.linspace(0, 0.8 * last, models.HINGES + 2)[1:-1]
+
+        def design(ms):
+            ms = np.asarray(ms, float)
+            angle = 2 * np.pi * (ms % 12 + 1) / 12
+            waves = [w(k * angle) for k in range(1, models.SEASON_TERMS + 1) for w in (np.sin, np.cos)]
+            return np.column_stack([np.ones_like(ms), ms, *(np.maximum(ms - k, 0) for k in knots), *waves])
+
+        d, y = design(known), np.array([value[m] for m in known])
+        ridge = np.full(d.shape[1], models.LEAST_RIDGE)
+        ridge[2 : 2 + models.HINGES] = models.HINGE_RIDGE * last
+        beta = np.linalg.solve(d.T @ d + np.diag(ridge), d.T @ y)
+        return design(at) @ beta, np.std(y - d @ beta, ddof=1)
+
+    yhat, sigma = fit(months, [*months, *range(60, 65)])
+    got = series.orderBy("ds").collect()
+    assert [r.part for r in got] == ["history"] * 57 + ["future"] * 5
+    assert np.allclose([r.yhat for r in got], yhat) and np.allclose([r.yhat_upper - r.yhat for r in got], models.BAND * sigma)
+    held, _ = fit(months[:-12], months[-12:])
+    assert metrics.first().mae == pytest.approx(np.mean(np.abs(held - [value[m] for m in months[-12:]])), abs=0.06)
+    none, _, _ = models.forecast(spark.createDataFrame(rows[:20], "province string, year int, month int, avg_price double"))
+    assert none.count() == 0
+
+
+def test_clusters_of_one_all_and_equal_regions(spark):
+    rows = [("a", 1.0, 5.0), ("b", 1.0, 5.0), ("c", 9.0, 5.0), (None, 3.0, 3.0), ("d", None, 1.0)]
+    df = spark.createDataFrame(rows, "province string, x double, flat double")
+    one, centre = models.cluster_regions(df, ["x", "flat"], k=1)
+    assert {(r.province, r.cluster) for r in one.collect()} == {("a", 0), ("b", 0), ("c", 0)}
+    assert centre.first().x == pytest.approx(11 / 3) and centre.first().flat == 5.0
+    two, centres = models.cluster_regions(df, ["x", "flat"], k=2)
+    assert {(r.province, r.cluster) for r in two.collect()} == {("a", 0), ("b", 0), ("c", 1)}
+    assert [r.x for r in centres.orderBy("cluster").collect()] == pytest.approx([1.0, 9.0])
+    three, _ = models.cluster_regions(df, ["x", "flat"], k=3, restarts=2)  # more clusters than different regions
+    assert {r.province: r.cluster for r in three.collect()}["a"] == {r.province: r.cluster for r in three.collect()}["b"]
+
+
+def test_models_run_without_python_workers(spark):
+    df = spark.createDataFrame([("A", 2001, 1, "2001-01", 1.0, 2.0)], "province string, year int, month int, ym string, avg_price double, x double")
+    series, metrics, _ = models.forecast(df)
+    for found in (series, metrics):
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in models.granger(df, "avg_price", "x")._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearthpanel.operators import models, stats, windows
+from hearthpanel.operators import models, moments, stats, windows
 from hearthpanel.plans.panel import build_panel
 from workloads import tables as t
 from workloads.contracts import PROVINCE_YEAR, r6
@@ -29,6 +29,119 @@ def p_value_sql(r: str, n: str) -> str:
     return f"CASE WHEN abs({r}) >= 1 THEN 0e0 WHEN {nu} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"
 
 
+def _cell(i: int, j: int) -> str:
+    return f"m{min(i, j)}_{max(i, j)}"
+
+
+def sweep_sql(source: str, size: int, pivots: list[int], keep: str, name: str) -> str:
+    """Steps that sweep a symmetric matrix of columns m0_0, m0_1, ... row by row; the last one is called ``name``."""
+    steps = []
+    for place, k in enumerate(pivots):
+        cells = []
+        for i in range(size):
+            for j in range(i, size):
+                if i == j == k:
+                    value = f"-1e0 / {_cell(k, k)}"
+                elif k in (i, j):
+                    value = f"{_cell(i, j)} / {_cell(k, k)}"
+                else:
+                    value = f"{_cell(i, j)} - {_cell(i, k)} * {_cell(k, j)} / {_cell(k, k)}"
+                cells.append(f"{value} AS {_cell(i, j)}")
+        step = name if place == len(pivots) - 1 else f"{name}_{place}"
+        steps.append(f"{step} AS MATERIALIZED (SELECT {keep}, {', '.join(cells)} FROM {source})")
+        source = step
+    return ",\n".join(steps)
+
+
+def centred_sql(columns: list[str]) -> str:
+    """Centred sums of products of columns, as the cells of a matrix."""
+    size = range(len(columns))
+    return ", ".join(f"covar_samp({columns[i]}, {columns[j]}) * (count(*) - 1) AS {_cell(i, j)}" for i in size for j in size if i <= j)
+
+
+def f_tail_sql(f: str, lag: int, df2: str) -> str:
+    """P(F > f) for ``lag`` of 1 to 4 and ``df2`` degrees of freedom: finite series, one step up from the t tail for odd lags."""
+    x, a = f"({df2} / ({df2} + {lag} * {f}))", f"({df2} / 2e0)"
+    if lag == 2:
+        return f"pow({x}, {a})"
+    if lag == 4:
+        return f"pow({x}, {a}) * (1 + {a} * (1 - {x}))"
+    t = f"({p_value_sql(f'sqrt(1 - {x})', f'({df2} + 2)')})"
+    if lag == 1:
+        return t
+    return f"{t} + pow({x}, {a}) * sqrt(1 - {x}) * 2 * exp(lgamma({a} + 0.5e0) - lgamma({a}) - lgamma(0.5e0))"
+
+
+def granger_sql(y: str, x: str, max_lag: int) -> str:
+    """Steps up to ``tests``: province, lag, f and p by normal equations of each lag."""
+    lags = range(1, max_lag + 1)
+    shifted = ", ".join(f"lag({c}, {i}) OVER w AS {c}{i}" for c in "yx" for i in lags)
+    text = [
+        f"""g0 AS (SELECT province, ym, CAST({y} AS DOUBLE) AS y, CAST({x} AS DOUBLE) AS x FROM panel_m WHERE {y} IS NOT NULL AND {x} IS NOT NULL),
+g AS MATERIALIZED (SELECT province, y AS y0, {shifted}, row_number() OVER w AS place FROM g0 WINDOW w AS (PARTITION BY province ORDER BY ym))"""
+    ]
+    for lag in lags:
+        columns = [f"y{i}" for i in range(lag + 1)] + [f"x{i}" for i in range(1, lag + 1)]
+        text.append(f"a{lag} AS (SELECT province, CAST(count(*) AS DOUBLE) AS n, {centred_sql(columns)} FROM g WHERE place > {lag} GROUP BY province)")
+        text.append(sweep_sql(f"a{lag}", 2 * lag + 1, list(range(1, lag + 1)), "province, n", f"b{lag}"))
+        text.append(f"c{lag} AS (SELECT *, m0_0 AS restricted FROM b{lag})")
+        text.append(sweep_sql(f"c{lag}", 2 * lag + 1, list(range(lag + 1, 2 * lag + 1)), "province, n, restricted", f"d{lag}"))
+        text.append(f"e{lag} AS (SELECT province, n - {2 * lag + 1} AS df2, (restricted - m0_0) / {lag} / (m0_0 / (n - {2 * lag + 1})) AS f FROM d{lag})")
+    union = " UNION ALL ".join(f"SELECT province, {lag} AS lag, f, {f_tail_sql('f', lag, 'df2')} AS p FROM e{lag}" for lag in lags)
+    return ",\n".join(text) + f",\ntests AS ({union})"
+
+
+def forecast_sql(hinges: int, seasons: int, periods: int = 12) -> str:
+    """Steps up to ``fitted``: trend and season of every province by ridge normal equations, as ``models.forecast`` has them."""
+    waves = [f"{wave}({2 * k} * pi() * {{month}} / 12)" for k in range(1, seasons + 1) for wave in ("sin", "cos")]
+
+    def trend(t: str, last: str) -> list[str]:
+        return ["1e0", t, *(f"greatest({t} - {last} * {0.8 * i / (hinges + 1)!r}, 0e0)" for i in range(1, hinges + 1))]
+
+    def dot(columns: list[str], start: int) -> str:
+        return " + ".join(["0e0", *(f"{c} * {_cell(0, start + i)}" for i, c in enumerate(columns, 1))])
+
+    text = [
+        """f0 AS (SELECT province, year, month, avg(avg_price) AS y FROM sales_rollup GROUP BY province, year, month),
+f1 AS (SELECT *, CAST((year - min(year) OVER w) * 12 + month - arg_min(month, year * 12 + month) OVER w AS DOUBLE) AS t,
+  count(*) OVER w AS n, row_number() OVER (PARTITION BY province ORDER BY year, month) AS place FROM f0 WINDOW w AS (PARTITION BY province)),
+f2 AS MATERIALIZED (SELECT *, place <= n - least(12, n // 4) AS train, max(t) OVER w AS last,
+  max(CASE WHEN place <= n - least(12, n // 4) THEN t END) OVER w AS last_train FROM f1 WHERE n >= 24 WINDOW w AS (PARTITION BY province))"""
+    ]
+    season = [w.format(month="month") for w in waves]
+    for name, last, where in (("whole", "last", "TRUE"), ("part", "last_train", "train")):
+        columns = ["y", *trend("t", last), *season]
+        size = len(columns)
+        cells = []
+        for i in range(size):
+            for j in range(i, size):
+                ridge = f" + any_value({last})" if i == j and 2 < i <= 2 + hinges else " + 1e-8" if i == j and i > 0 else ""
+                cells.append(f"sum(({columns[i]}) * ({columns[j]})){ridge} AS {_cell(i, j)}")
+        text.append(f"{name}_sums AS MATERIALIZED (SELECT province, {', '.join(cells)} FROM f2 WHERE {where} GROUP BY province)")
+        text.append(sweep_sql(f"{name}_sums", size, list(range(1, size)), "province", name))
+        text.append(
+            f"""{name}_fit AS MATERIALIZED (SELECT f2.*, {dot(trend('t', last), 0)} AS trend, {dot(season, 2 + hinges)} AS yearly FROM f2 JOIN {name} USING (province)),
+{name}_sigma AS (SELECT province, stddev_samp(y - trend - yearly) AS sigma FROM {name}_fit WHERE {where} GROUP BY province)"""
+        )
+    ahead = [w.format(month="((month - 1 + i) % 12 + 1)") for w in waves]
+    text.append(
+        f"""future AS (SELECT province, CAST(make_date(year, month, 1) + to_months(CAST(i AS INTEGER)) AS DATE) AS ds,
+  {dot(trend('(t + i)', 'last'), 0)} AS trend, {dot(ahead, 2 + hinges)} AS yearly
+  FROM f2 JOIN whole USING (province), range(1, {periods + 1}) r(i) WHERE place = n),
+points AS (SELECT province, 'history' AS part, make_date(year, month, 1) AS ds, y AS actual, trend, yearly, sigma FROM whole_fit JOIN whole_sigma USING (province)
+  UNION ALL SELECT province, 'holdout', make_date(year, month, 1), y, trend, yearly, sigma FROM part_fit JOIN part_sigma USING (province) WHERE NOT train
+  UNION ALL SELECT province, 'future', ds, NULL, trend, yearly, sigma FROM future JOIN whole_sigma USING (province)),
+fitted AS (SELECT province, part, ds, actual, trend + yearly AS yhat, trend + yearly - {models.BAND} * sigma AS yhat_lower,
+  trend + yearly + {models.BAND} * sigma AS yhat_upper, trend, yearly FROM points)"""
+    )
+    return ",\n".join(text)
+
+
+_SERIES = ", ".join(f"round({c}, 4) AS {c}" for c in ("actual", "yhat", "yhat_lower", "yhat_upper"))
+_METRICS = """SELECT province, round_even(avg(abs(actual - yhat)), 1) AS mae, round_even(avg(abs((actual - yhat) / actual)) * 100, 2) AS mape,
+  round_even(sqrt(avg((actual - yhat) * (actual - yhat))), 1) AS rmse FROM fitted WHERE part = 'holdout' GROUP BY province"""
+
+
 def monthly_panel(spark, sf):
     sources = t.panel_sources(spark, sf)
     wanted = ("sales", "deposit_only", "unsold", "permits", "price_index", "population")
@@ -247,12 +360,77 @@ def ols_two(spark, sf):
     )
 
 
-@query("ols_panel")
+_OLS = ["avg_price", "deal_count", "unsold", "permits"]
+_OLS_TERM = """SELECT {place} AS place, '{name}' AS variable, {value} AS b, {error} AS se, {weight} AS w, n FROM o2"""
+_OLS_MEANS = " - ".join(["mean0", *(f"m0_{i} * mean{i}" for i in (1, 2, 3))])
+_OLS_LEVER = " + ".join(["1e0 / n", *(f"mean{i} * mean{j} * -{_cell(i, j)}" for i in (1, 2, 3) for j in (1, 2, 3))])
+
+
+@query(
+    "ols_panel",
+    f"""WITH {PANEL_MONTHLY},
+o0 AS (SELECT * FROM panel_m WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _OLS)}),
+o1 AS (SELECT count(*) AS n, {', '.join(f'avg({c}) AS mean{i}, var_samp({c}) AS v{i}' for i, c in enumerate(_OLS))}, {centred_sql(_OLS)} FROM o0),
+{sweep_sql('o1', 4, [1, 2, 3], 'n, ' + ', '.join(f'mean{i}, v{i}' for i in range(4)), 'o2')},
+o3 AS ({' UNION ALL '.join(
+    [_OLS_TERM.format(place=0, name='intercept', value=_OLS_MEANS, error=f'sqrt(m0_0 / (n - 4) * ({_OLS_LEVER}))', weight='NULL')]
+    + [_OLS_TERM.format(place=i, name=c, value=f'm0_{i}', error=f'sqrt(m0_0 / (n - 4) * -{_cell(i, i)})', weight=f'abs(m0_{i} * sqrt(v{i}) / sqrt(v0))')
+       for i, c in enumerate(_OLS) if i]
+)}),
+o4 AS (SELECT *, b / se AS t, n - 2 AS pairs, (b / se) / sqrt((b / se) * (b / se) + n - 4) AS r FROM o3)
+SELECT variable, round_even(b, 6) AS coefficient, round_even(se, 6) AS std_error, round_even(t, 4) AS t,
+  round_even({p_value_sql('r', 'pairs')}, 4) AS p, round_even(w, 4) AS importance FROM o4""",
+)
 def ols_panel(spark, sf):
     coefficients, importance, _ = models.ols(monthly_panel(spark, sf), "avg_price", ["deal_count", "unsold", "permits"])
     return coefficients.join(importance, "variable", "left")
 
 
+@query(
+    "ols_by_region",
+    f"""WITH {t.SALES},
+s AS (SELECT province, count(*) AS n, avg(amount) AS my, avg(area) AS m1, avg(l_discount) AS m2, var_samp(amount) AS yy,
+  covar_samp(amount, area) AS y1, covar_samp(amount, l_discount) AS y2, var_samp(area) AS s11, var_samp(l_discount) AS s22,
+  covar_samp(area, l_discount) AS s12 FROM sales GROUP BY province),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS d, (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS b1,
+  (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+f AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (n - 1) * (yy - b1 * y1 - b2 * y2) AS sse FROM b),
+v AS (SELECT *, sse / (n - 3) AS s2, 1 - sse / ((n - 1) * yy) AS r2 FROM f),
+u AS (SELECT province, 'intercept' AS variable, b0 AS c, sqrt(s2 * (1e0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / d / (n - 1))) AS se, n, r2 FROM v
+  UNION ALL SELECT province, 'area', b1, sqrt(s2 * s22 / d / (n - 1)), n, r2 FROM v
+  UNION ALL SELECT province, 'l_discount', b2, sqrt(s2 * s11 / d / (n - 1)), n, r2 FROM v)
+SELECT province, variable, round(c, 3) AS coefficient, round(se, 3) AS std_error, round(c / se, 4) AS t, n, round(r2, 6) AS r_squared FROM u""",
+)
+def ols_by_region(spark, sf):
+    """A regression of every province over its contracts, from one aggregate."""
+    out = moments.ols_by(t.sales(spark, sf, detail=True), "amount", ["area", "l_discount"], by=["province"])
+    return out.select(
+        "province", "variable", F.round("coefficient", 3).alias("coefficient"), F.round("std_error", 3).alias("std_error"), F.round("t", 4).alias("t"), "n", r6("r_squared")
+    )
+
+
+_KMEANS = ["avg_price", "deal_count", "avg_unit_price"]
+_KMEANS_MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in _KMEANS)
+
+
+@query("kmeans_one", f"WITH {t.SALES_ROLLUP} SELECT district_code, 0 AS cluster, {_KMEANS_MEANS} FROM sales_rollup GROUP BY district_code")
+def kmeans_one(spark, sf):
+    """A single cluster holds every region with its means."""
+    assigned, _ = models.cluster_regions(t.rolled_sales(spark, sf), _KMEANS, k=1, restarts=1, region="district_code")
+    return assigned.select("district_code", "cluster", *(r6(c) for c in _KMEANS))
+
+
+@query(
+    "kmeans_each",
+    f"""WITH {t.SALES_ROLLUP}, m AS (SELECT province, {', '.join(f'avg({c}) AS {c}' for c in _KMEANS)} FROM sales_rollup GROUP BY province)
+SELECT CAST(row_number() OVER (ORDER BY avg_price) - 1 AS INTEGER) AS cluster, {', '.join(f'round({c}, 6) AS {c}' for c in _KMEANS)} FROM m""",
+)
+def kmeans_each(spark, sf):
+    """As many clusters as regions: every centre is a region, in the order of its first feature."""
+    _, centres = models.cluster_regions(t.rolled_sales(spark, sf), _KMEANS, k=5, region="province")
+    return centres.select("cluster", *(r6(c) for c in _KMEANS))
+
+
 @query("kmeans_regions")
 def kmeans_regions(spark, sf):
     rollup = t.rolled_sales(spark, sf)
@@ -288,35 +466,66 @@ def granger_lag1(spark, sf):
     return out.select("province", "lag", F.round("f", 4).alias("f"), F.round("p", 5).alias("p"), "causal")
 
 
-@query("granger_lags")
+@query(
+    "granger_lags",
+    f"""WITH {PANEL_MONTHLY}, {granger_sql('avg_price', 'unsold', 4)}
+SELECT province, lag, round_even(f, 4) AS f, round_even(p, 4) AS p, p < 0.05 AS causal FROM tests""",
+)
 def granger_lags(spark, sf):
     return models.granger(monthly_panel(spark, sf), "avg_price", "unsold", max_lag=4)
 
 
-@query("granger_matrix")
+@query(
+    "granger_matrix",
+    f"""WITH {PANEL_MONTHLY}, {granger_sql('deal_count', 'permits', 3)}
+SELECT province, {', '.join(f'round_even(max(p) FILTER (lag = {i}), 4) AS "{i}"' for i in (1, 2, 3))} FROM tests GROUP BY province""",
+)
 def granger_matrix(spark, sf):
     tests = models.granger(monthly_panel(spark, sf), "deal_count", "permits", max_lag=3)
     return stats.p_value_matrix(tests, [1, 2, 3])
 
 
-@query("forecast")
+def _rounded(series):
+    return series.select("province", "part", "ds", *(F.round(c, 4).alias(c) for c in ("actual", "yhat", "yhat_lower", "yhat_upper")))
+
+
+@query(
+    "forecast",
+    f"""WITH {t.SALES_ROLLUP}, {forecast_sql(models.HINGES, models.SEASON_TERMS)}
+SELECT province, part, ds, {_SERIES} FROM fitted WHERE part <> 'holdout'""",
+)
 def forecast(spark, sf):
     series, _, _ = models.forecast(t.rolled_sales(spark, sf), periods=12)
-    return series
+    return _rounded(series)
 
 
-@query("forecast_metrics")
+@query("forecast_metrics", f"""WITH {t.SALES_ROLLUP}, {forecast_sql(models.HINGES, models.SEASON_TERMS)} {_METRICS}""")
 def forecast_metrics(spark, sf):
     _, metrics, _ = models.forecast(t.rolled_sales(spark, sf), periods=12)
     return metrics
 
 
-@query("forecast_season")
+@query(
+    "forecast_season",
+    f"""WITH {t.SALES_ROLLUP}, {forecast_sql(models.HINGES, models.SEASON_TERMS)}
+SELECT CAST(month(ds) AS INTEGER) AS month, round(avg(yearly), 3) AS yearly FROM fitted WHERE part <> 'holdout' GROUP BY month(ds)""",
+)
 def forecast_season(spark, sf):
     from hearthpanel.operators.aggregates import seasonal_effect
 
     _, _, components = models.forecast(t.rolled_sales(spark, sf), periods=12)
-    return seasonal_effect(components, "yearly")
+    return seasonal_effect(components, "yearly").select("month", F.round("yearly", 3).alias("yearly"))
+
+
+@query(
+    "forecast_line",
+    f"""WITH {t.SALES_ROLLUP}, {forecast_sql(0, 0, 18)}
+SELECT province, part, ds, {_SERIES} FROM fitted WHERE part <> 'holdout'""",
+)
+def forecast_line(spark, sf):
+    """The straight line that is left without hinges and seasons."""
+    series, _, _ = models.forecast(t.rolled_sales(spark, sf), periods=18, hinges=0, seasons=0)
+    return _rounded(series)
 
 
 @query(
