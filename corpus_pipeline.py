@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.llm import decontaminate, jaccard, quality, suffixes
-from hearthpanel.llm.common import new_folder, table
+from hearthpanel.llm.common import free_name, new_folder, table
 from hearthpanel.llm.queries import packed
 
 #: Word shingles and similarity of near duplicates.
@@ -21,34 +21,60 @@ PERCENT = 80
 FOLDS = 3
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as one struct column ``row``, beside their id and a hash of the text that tells rows of one id apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field does not reject. Rows with a null or empty text get the share of good documents."""
+    """Documents that the line field does not reject.
+
+    Rows with a null or empty text get the share of good documents; every row
+    is judged by its own text, repeated ids and null ids too.
+    """
     labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id"), FOLDS))
-    field = quality.fit(docs, labels)
-    scored = quality.score_documents(docs, field, keep=docs.columns, score="_quality")
-    return scored.filter(F.col("_quality") >= 0.5).select(*docs.columns)
+    score = free_name(docs, "quality")
+    scored = quality.score_documents(docs, quality.fit(docs, labels), keep=docs.columns, score=score)
+    return scored.filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; texts without words and null ids stay."""
-    joined = jaccard.jaccard_join(docs, n=SHINGLE, percent=PERCENT)
-    return docs.join(joined.filter("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates.
+
+    Texts without words and rows with a null id stay. Rows that repeat an id
+    are judged each by its own text; those of the group's smallest id stay.
+    """
+    rows = identified(docs)
+    joined = jaccard.jaccard_join(rows, n=SHINGLE, percent=PERCENT, also=["text_hash"])
+    gone = joined.filter("component_id < doc_id").select("doc_id", "text_hash").distinct()
+    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that start in a smaller id too; ``n_chars`` counts what is left."""
+    """Documents without the byte strings that start in a smaller id too; ``n_chars`` counts what is left.
+
+    No row goes: a text of which nothing is left is empty, a null text stays
+    null, and a row with a null id keeps its text. Rows that repeat an id and a
+    text lose the same strings.
+    """
     cut = suffixes.without_spans(docs, suffixes.repeated_spans(docs))
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none. Rows are judged each by its own text, also
+    where they repeat an id or have none.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash").cast("string"))
+    rows = identified(docs).withColumn("name", name)
+    found = decontaminate.leaks(rows.select(F.col("name").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("name")).distinct(), "name", "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of token ids."""
+    """Pieces of all documents in windows of token ids. Null and empty texts give the end id alone; every row is packed."""
     return packed(docs)
 
 
