@@ -43,6 +43,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while label.lower() in taken:
+        label += "_"
+    return label
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds about ``limit`` bytes of text, and at least one row."""
     for batch in batches:

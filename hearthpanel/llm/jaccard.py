@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
 
@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hearthpanel.llm.common import chunks, flat_bytes, gathered, mixed, store
 from hearthpanel.llm.components import components
@@ -128,7 +129,7 @@ def links(block: list[tuple[int, int, int, np.ndarray, np.ndarray]], tile: int,
     return list(zip(doc[some].tolist(), root[some].tolist(), (own[some] @ copies).tolist()))
 
 
-def jaccard_join(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, n: int = 4, percent: int = 85, also: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_shingles, n_links and component_id of every row of (doc_id, text).
 
     A row's set holds its distinct n-word shingles (words in lower case A-Z;
@@ -150,16 +151,23 @@ def jaccard_join(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame
     64-bit hashes of their n-grams. A null or empty text, and one of white
     space only, has no shingles, no links and its own id. A null id takes no
     part in links and has a null component. Rows that repeat an id with other
-    texts are judged each by its own. An empty table gives no row.
+    texts are judged each by its own. An empty table gives no row. Columns
+    named in ``also`` are carried along, to tell such rows apart; they must not
+    be called n, k1, k2, component or links.
     """
     texts = docs.select("doc_id", "text")
+    extra = list(also)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
             gram, bounds = ngrams(*flat_bytes(piece.column("text")), n)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, keys(gram, bounds))], ["doc_id", "n", "k1", "k2"])
+            found = [piece.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, keys(gram, bounds)), *(piece.column(c) for c in extra)]
+            yield pa.RecordBatch.from_arrays(found, ["doc_id", "n", "k1", "k2", *extra])
 
-    sets = store(texts.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long"), "jaccard-sets")
+    described = StructType.fromDDL("doc_id long, n long, k1 long, k2 long")
+    for c in extra:
+        described = described.add(docs.schema[c])
+    sets = store(docs.select("doc_id", "text", *extra).mapInArrow(describe, described), "jaccard-sets")
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     classes = store(classes, "jaccard-classes")
 
@@ -245,4 +253,5 @@ def jaccard_join(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links"),
+        *extra,
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthpanel.llm.common import chunks, flat_bytes, mixed, release, store
+from hearthpanel.llm.common import chunks, flat_bytes, free_name, mixed, release, store
 from hearthpanel.llm.textbytes import Hashes
 
 #: Bytes of the initial buckets.
@@ -292,16 +292,17 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Rows keep their other columns. A text of which nothing is left becomes
     empty; a null text stays null.
     """
-    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    cut = spans.filter("n_removed > 0").select("doc_id", F.col("text_sha256").alias("_sha"), F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_sha"])
-    joined = named.join(cut, ["doc_id", "_sha"], "left")
+    sha, places = free_name(docs, "sha"), free_name(docs, "spans")
+    named = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    cut = spans.filter("n_removed > 0").select("doc_id", F.col("text_sha256").alias(sha), F.col("spans").alias(places)).dropDuplicates(["doc_id", sha])
+    joined = named.join(cut, ["doc_id", sha], "left")
     schema = docs.schema
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, limit=PIECE):
             out = []
-            for text, spans in zip(piece.column("text").to_pylist(), piece.column("_spans").to_pylist()):
+            for text, spans in zip(piece.column("text").to_pylist(), piece.column(places).to_pylist()):
                 if spans:
                     raw = text.encode()
                     begins, ends = [s["start"] for s in spans], [s["start"] + s["length"] for s in spans]
@@ -309,4 +310,4 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else piece.column(c) for c in names], names)
 
-    return joined.select(*names, "_spans").mapInArrow(run, schema)
+    return joined.select(*names, places).mapInArrow(run, schema)

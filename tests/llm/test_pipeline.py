@@ -79,3 +79,29 @@ def test_stages_on_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
     assert quality.classify(docs, table(spark, SF, "labels")).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    schema = table(spark, SF, "documents").schema
+    item = table(spark, SF, "benchmark").first().text
+    one = "a plain text of some words that two rows of this small table hold alike and whole"
+    other = "nothing of this sentence occurs in any other row of the table that the test builds"
+    rows = [(1, one), (5, one), (5, other), (None, one), (None, None), (7, "before it " + item), (7, other + " seven"), (None, item), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, SF).collect()), key=str)
+    assert kept("n-gram jaccard join") == sorted(([r for r in rows if r != (5, one)]), key=str)
+    assert kept("benchmark decontamination") == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
+def test_stages_take_columns_of_any_name(spark):
+    docs = table(spark, SF, "documents").limit(30)
+    clash = ["quality", "_quality", "sha", "spans", "_spans", "_sha", "row", "name", "text_hash", "component_id", "k1", "n", "links", "item_id"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in clash})
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert all(r[c] == f"{c} of {r.doc_id}" for c in clash), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count()
