@@ -45,8 +45,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     are judged each by its own text; those of the group's smallest id stay.
     """
     rows = identified(docs)
-    joined = jaccard.jaccard_join(rows, n=SHINGLE, percent=PERCENT, also=["text_hash"])
-    gone = joined.filter("component_id < doc_id").select("doc_id", "text_hash").distinct()
+    # The join tells texts apart by its ids, so each text of an id gets one of its own.
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    named = rows.select(own.alias("doc_id"), "text", F.col("doc_id").alias("id"), "text_hash")
+    joined = jaccard.jaccard_join(named, n=SHINGLE, percent=PERCENT, also=["id", "text_hash"]).filter("component_id is not null")
+    groups = joined.groupBy("component_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    gone = joined.join(groups, "component_id").filter("id > first").select(F.col("id").alias("doc_id"), "text_hash").distinct()
     return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
