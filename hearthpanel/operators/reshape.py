@@ -102,3 +102,18 @@ def age_pivot(
         for sex, prefix in SEX_PREFIX.items()
     ]
     return long.groupBy(*keys).agg(*measures)
+
+
+def keyed_series(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Figures of one type per key as rows of (keys, metric, value).
+
+    Every series that is cut from the result needs all of its input, whatever
+    metrics it keeps, so the plans of many series share one scan and one
+    exchange below it.
+    """
+    return df.unpivot(keys, metrics, "metric", "value")
+
+
+def series_totals(long: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Sums of the named metrics of a keyed series by coarser keys, one column each."""
+    return long.groupBy(*keys).agg(*(F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics))

@@ -53,3 +53,15 @@ def test_outliers_on_a_hot_group_do_not_shuffle_the_rows(spark):
     scored = stats.detect_outliers(t.sales(spark, SF), "amount")
     text = plan(scored)
     assert "BroadcastHashJoin" in text and "Window" not in text
+
+
+@pytest.mark.parametrize("freq", ["yearly", "monthly"])
+def test_indicators_share_the_scan_of_their_facts(spark, freq):
+    from hearthpanel.plans.panel import build_panel
+
+    panel = build_panel(t.panel_sources(spark, SF), freq=freq)
+    panel.collect()
+    final = plan(panel).split("== Initial Plan ==")[0]
+    # One for all indicators and at most one for each of the three lease kinds; 18 without the long series.
+    assert sum("orders.parquet" in line and "FileScan" in line for line in final.splitlines()) <= 5
+    assert sum("lineitem.parquet" in line and "FileScan" in line for line in final.splitlines()) == 1

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.operators.contracts import lease_rollup, lease_rollups, sales_rollup
+from hearthpanel.operators.reshape import keyed_series, series_totals
 
 
 @lru_cache(maxsize=256)
@@ -172,13 +173,15 @@ PROVINCE_MONTH = ["province", "year", "month"]
 
 def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Indicator tables in the shape of the curated public series."""
-    facts = order_facts(spark, sf_dir)
-    sums = [F.expr(f"sum({name}) AS {name}") for name in FACT_SUMS]
+    # One long series per district and month: every branch below needs all of it, so all share the scan and its exchange.
+    long = keyed_series(order_facts(spark, sf_dir), ["province", "district_code", "year", "month"], list(FACT_SUMS))
+
+    def at(*keys: str) -> DataFrame:
+        return series_totals(long, list(keys), list(FACT_SUMS))
+
     # Region-period totals, each the base of several indicators.
-    monthly, yearly, national = (
-        facts.groupBy(*keys).agg(*sums)
-        for keys in (PROVINCE_MONTH, ["province", "year"], ["year", "month"])
-    )
+    facts, monthly = at("province", "district_code", "year", "month"), at(*PROVINCE_MONTH)
+    yearly, national = at("province", "year"), at("year", "month")
     in_month = PROVINCE_MONTH
     return {
         "population": yearly.selectExpr("province", "year", "n * 40 AS population"),
@@ -203,11 +206,8 @@ def indicators(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "double(urgent_billed) / n AS household_debt",
             "double(balances) / n AS household_income",
         ),
-        "income": facts.groupBy("province", "district_code", "year").agg(
-            *(
-                F.expr(f"sum({source}) AS {name}")
-                for source, name in (("n", "earners"), ("billed", "pay_total"), ("urgent_n", "taxpayers"), ("urgent_billed", "tax_total"))
-            )
+        "income": at("province", "district_code", "year").selectExpr(
+            "province", "district_code", "year", "n AS earners", "billed AS pay_total", "urgent_n AS taxpayers", "urgent_billed AS tax_total"
         ),
         "unsold": monthly.selectExpr(*in_month, "done_n AS unsold"),
         "construction": monthly.selectExpr(*in_month, "open_n AS starts", "part_n AS completions"),
