@@ -17,6 +17,8 @@ from hearthpanel.llm.queries import packed
 #: Word shingles and similarity of near duplicates.
 SHINGLE = 5
 PERCENT = 80
+#: Parts in which the rows of a group of near duplicates are joined to it.
+SALTS = 16
 #: Labels of documents whose id leaves this are not learned from, as in the operator's own query.
 FOLDS = 3
 
@@ -50,7 +52,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     named = rows.select(own.alias("doc_id"), "text", F.col("doc_id").alias("id"), "text_hash")
     joined = jaccard.jaccard_join(named, n=SHINGLE, percent=PERCENT, also=["id", "text_hash"]).filter("component_id is not null")
     groups = joined.groupBy("component_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    gone = joined.join(groups, "component_id").filter("id > first").select(F.col("id").alias("doc_id"), "text_hash").distinct()
+    # A group may hold a third of all rows: they meet their group's first id in SALTS places.
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = joined.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(groups, ["component_id", "salt"]).filter("id > first").select(F.col("id").alias("doc_id"), "text_hash").distinct()
     return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
