@@ -200,23 +200,28 @@ def curate_migration(rows: DataFrame) -> DataFrame:
     return _with_period(with_net_migration(wide))
 
 
+# Labels of all uses in land prices, and of home types in conversion rates.
+ALL_USES = ["전체", "계"]
+HOME_TYPES = ["아파트", "단독주택", "연립다세대", "전체"]
+PREFERRED_HOMES = ["아파트", "전체"]
+
+
 def curate_land_price(rows: DataFrame) -> DataFrame:
     """Land price change per province and month, all uses where given."""
-    rows = prefer_value(_region_and_kind(rows), "kind", ["전체", "계"])
+    rows = prefer_value(_region_and_kind(rows), "kind", ALL_USES)
     return _with_period(rows.select("ym", "province", F.col("value").alias("land_price_change")))
 
 
 def curate_conversion(rows: DataFrame) -> DataFrame:
     """Deposit-to-rent conversion rate of apartments, else of all homes, else every row."""
     shorts = sorted(set(PROVINCE_SHORT.values()))
-    kinds = ["아파트", "단독주택", "연립다세대", "전체"]
     names = [exact_province(c, keep_unknown=True) for c in ITEMS[:3]]
     # The last matching item decides, as later items are more specific.
     region = F.coalesce(*(F.when(n.isin(shorts), n) for n in reversed(names)))
     nation = reduce(lambda a, b: a | b, (F.col(c).contains(NATIONWIDE) for c in ITEMS[:3]))
-    kind = F.coalesce(*(F.when(F.col(c).isin(kinds) & ~n.isin(shorts), F.col(c)) for c, n in zip(reversed(ITEMS[:3]), reversed(names))), F.lit("전체"))
+    kind = F.coalesce(*(F.when(F.col(c).isin(HOME_TYPES) & ~n.isin(shorts), F.col(c)) for c, n in zip(reversed(ITEMS[:3]), reversed(names))), F.lit("전체"))
     rows = rows.withColumns({"province": F.coalesce(region, F.when(nation, NATIONWIDE)), "kind": kind})
-    rows = prefer_value(rows.filter(F.col("province").isNotNull()), "kind", ["아파트", "전체"])
+    rows = prefer_value(rows.filter(F.col("province").isNotNull()), "kind", PREFERRED_HOMES)
     rows = rows.filter(F.col("province") != NATIONWIDE)
     return _with_period(rows.select("ym", "province", F.col("value").alias("conversion_rate")))
 
@@ -445,7 +450,6 @@ def curate_age_population(rows: DataFrame, *, level: str = "province", names: Da
     return age_pivot(long.filter(F.col("sex").isNotNull()), level=level)
 
 
-# Stage and home type of each construction request.
 def curate_construction(rows: DataFrame) -> DataFrame:
     """Starts and completions by home type from list rows.
 
