@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import re
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hearthpanel.functions.numeric import clean_amount, clean_double
 from hearthpanel.functions.periods import pad_code, year_month, ym_from_compact
@@ -16,6 +19,7 @@ from hearthpanel.operators.reshape import arrival, keep_first, union_all
 
 # Encodings tried in order, by their JVM names.
 ENCODINGS = ("UTF-8", "MS949")
+_PYTHON_NAMES = {"MS949": "cp949"}
 
 # Header names of the raw contract files.
 SALE_COLUMNS = {
@@ -62,23 +66,102 @@ def _too_many_fields(record: Column, fields: int) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) >= fields
 
 
+@dataclass(frozen=True)
+class FileGroup:
+    """Files that share an encoding and a first line; ``names`` are the fields of that line."""
+
+    encoding: str
+    names: tuple[str, ...]
+    files: tuple[str, ...]
+
+
+def _first_rows(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file`` and ``line`` (its bytes) of every file that has a line, in one job.
+
+    A session of its own deals one file to a task and one row to a batch, and a
+    task stops after its first row: of a file only its first block is read,
+    whatever its length. Compressed files are read too.
+    """
+    own = spark.newSession()
+    for name, value in {
+        "spark.sql.files.maxPartitionBytes": str(2**50),
+        "spark.sql.files.openCostInBytes": str(2**50),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+    }.items():
+        own.conf.set(name, value)
+    lines = own.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(_first_rows, lines.schema)
+
+
+def file_groups(spark: SparkSession, path: str | list[str], *, encoding: str | None = None) -> list[FileGroup]:
+    """The files behind paths, folders and patterns, by encoding and header; one row per file reaches the driver.
+
+    Header lines beyond ASCII tell the encodings apart. Files whose header does
+    not are looked through for lines that are no UTF-8, all in one more job.
+    Files without a line are left out.
+    """
+    heads = sorted((unquote(r["file"]), bytes(r["line"])) for r in first_lines(spark, path).collect())
+    plain = [file for file, line in heads if line.isascii()] if encoding is None else []
+    other = set()
+    if plain:
+        text = spark.read.text(plain).filter(~F.is_valid_utf8("value"))
+        other = {unquote(r[0]) for r in text.select("_metadata.file_path").distinct().collect()}
+    groups: dict[tuple, list[str]] = {}
+    for file, line in heads:
+        charset = encoding or ENCODINGS[not _is_utf8(line) or file in other]
+        fields = next(csv.reader([line.decode(_PYTHON_NAMES.get(charset, charset), "replace")]), [])
+        groups.setdefault((charset, tuple(f.lstrip("\ufeff").strip() for f in fields)), []).append(file)
+    return [FileGroup(charset, names, tuple(files)) for (charset, names), files in groups.items()]
+
+
+def _is_utf8(line: bytes) -> bool:
+    try:
+        line.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _column_names(names: tuple[str, ...]) -> list[str]:
+    """Header fields as column names: one without text, or that occurs twice, is told apart by its place."""
+    lower = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _group_lines(spark: SparkSession, group: FileGroup, header: bool) -> DataFrame:
+    """All lines of a group by its columns, with the text of those that have more or fewer fields."""
+    names = _column_names(group.names) if header else [f"_c{i}" for i in range(len(group.names))]
+    schema = StructType([StructField(n, StringType()) for n in (*names, _BAD)])
+    return (
+        spark.read.schema(schema)
+        .options(header=header, encoding=group.encoding, columnNameOfCorruptRecord=_BAD, columnPruning="false")
+        .csv(list(group.files))
+    )
+
+
+def _skipped(group: FileGroup) -> Column:
+    return F.col(_BAD).isNotNull() & _too_many_fields(F.col(_BAD), len(group.names))
+
+
 def read_csv_any(spark: SparkSession, path: str | list[str], *, encoding: str | None = None, header: bool = True) -> DataFrame:
     """All-text CSV with header names; lines with too many fields are skipped.
 
-    A short line keeps its fields and is null in the rest. Without ``encoding``
-    the file is checked for UTF-8 first.
+    A short line keeps its fields and is null in the rest. Every file is read
+    by its own encoding (unless ``encoding`` names one for all) and header; a
+    column that a file lacks is null in its rows. Files without lines give none.
     """
-    first = path if isinstance(path, str) else path[0]
-    charset = encoding or detect_encoding(spark, first)
-    schema = spark.read.options(header=header, encoding=charset).csv(first).schema
-    names = list(schema.names)
-    lines = (
-        spark.read.schema(schema.add(_BAD, "string"))
-        .options(header=header, encoding=charset, columnNameOfCorruptRecord=_BAD, columnPruning="false")
-        .csv(path)
-    )
-    kept = lines.filter(F.col(_BAD).isNull() | ~_too_many_fields(F.col(_BAD), len(names)))
-    return kept.select(*(F.col(f"`{n}`").alias(n.lstrip("﻿")) for n in names))
+    parts = []
+    for group in file_groups(spark, path, encoding=encoding):
+        lines = _group_lines(spark, group, header)
+        parts.append(lines.filter(~_skipped(group)).drop(_BAD))
+    return union_all(parts) if parts else spark.createDataFrame([], StructType([]))
 
 
 def _renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -88,23 +171,14 @@ def _renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files behind paths, folders and patterns; only their names are read."""
-    return sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
-
-
-def _head(spark: SparkSession, path: str, encoding: str | None) -> tuple[str, tuple[str, ...]]:
-    """Encoding and column names of one file, from its first line: Korean headers tell the encodings apart."""
-    row = spark.read.text(path).select(F.col("value").cast("binary").alias("line")).first()
-    line = bytes(row.line) if row else b""
-    if encoding is None:
-        try:
-            line.decode("utf-8")
-            encoding = ENCODINGS[0]
-        except UnicodeDecodeError:
-            encoding = ENCODINGS[1]
-    names = next(csv.reader([line.decode("cp949" if encoding == "MS949" else encoding)]), [])
-    return encoding, tuple(n.lstrip("\ufeff").strip() for n in names)
+def _contract_groups(spark: SparkSession, path: str | list[str], columns: dict[str, str], encoding: str | None) -> list[FileGroup]:
+    groups = file_groups(spark, path, encoding=encoding)
+    for group in groups:
+        if missing := [c for c in columns if c not in group.names]:
+            raise ValueError(f"{group.files[0]} lacks the columns {', '.join(missing)}")
+    if not groups:
+        raise ValueError(f"no contract file with a header in {path}")
+    return groups
 
 
 def scan_contracts(spark: SparkSession, path: str | list[str], columns: dict[str, str], *, encoding: str | None = None) -> DataFrame:
@@ -114,13 +188,49 @@ def scan_contracts(spark: SparkSession, path: str | list[str], columns: dict[str
     are read together. A file that lacks a used column is an error, so that no
     rollup is stored over rows that could not be read.
     """
-    groups: dict[tuple, list[str]] = {}
-    for file in _files(spark, path):
-        charset, names = _head(spark, file, encoding)
-        if missing := [c for c in columns if c not in names]:
-            raise ValueError(f"{file} lacks the columns {', '.join(missing)}")
-        groups.setdefault((charset, names), []).append(file)
-    return union_all([_renamed(read_csv_any(spark, files, encoding=charset), columns) for (charset, _), files in groups.items()])
+    groups = _contract_groups(spark, path, columns, encoding)
+    return union_all([_renamed(_group_lines(spark, g, True).filter(~_skipped(g)), columns) for g in groups])
+
+
+@dataclass(frozen=True)
+class Landing:
+    """Contracts that were read once: the rows, the lines that were left out, and how many of each."""
+
+    rows: DataFrame
+    rejects: DataFrame  # file, line
+    lines: int
+    skipped: int
+    short: int  # kept, but with fewer fields than the header
+
+
+def land_contracts(
+    spark: SparkSession, path: str | list[str], columns: dict[str, str], folder: str, *, encoding: str | None = None
+) -> Landing:
+    """Contract files to Parquet in ``folder``, the lines left out beside the rows.
+
+    Everything is done in the one scan that writes: kept and rejected lines go
+    to a folder each, and the counts are observed on the way.
+    """
+    parts = []
+    for group in _contract_groups(spark, path, columns, encoding):
+        lines = _group_lines(spark, group, True)
+        flagged = lines.select(*(F.col(f"`{raw}`").alias(name) for raw, name in columns.items()), F.col(_BAD), _skipped(group).alias("rejected"))
+        parts.append(flagged.withColumn("file", F.when(F.col("rejected"), F.input_file_name())))
+    seen = Observation()
+    short = F.col(_BAD).isNotNull() & ~F.col("rejected")
+    observed = union_all(parts).observe(
+        seen, F.count(F.lit(1)).alias("lines"), F.count_if("rejected").alias("skipped"), F.count_if(short).alias("short")
+    )
+    kept = [F.when(~F.col("rejected"), F.col(name)).alias(name) for name in columns.values()]
+    out = observed.select(*kept, "file", F.when(F.col("rejected"), F.col(_BAD)).alias("line"), "rejected")
+    out.write.mode("overwrite").partitionBy("rejected").parquet(folder)
+    stored = spark.read.schema(out.schema).parquet(folder)
+    counts = seen.get
+    return Landing(
+        stored.filter("NOT rejected").select(*columns.values()),
+        stored.filter("rejected").select("file", "line"),
+        *(int(counts.get(name) or 0) for name in ("lines", "skipped", "short")),
+    )
 
 
 def scan_sales(spark: SparkSession, path: str | list[str], *, encoding: str | None = None) -> DataFrame:
@@ -315,12 +425,12 @@ def match_columns(have: list[str], wanted: list[str]) -> dict[str, str]:
 def read_workplaces(spark: SparkSession, paths: list[str], *, encoding: str | None = None) -> DataFrame:
     """Pension workplaces of several files; a file that lacks a column is an error."""
     frames = []
-    for path in paths:
-        raw = read_csv_any(spark, path, encoding=encoding)
-        found = match_columns(raw.columns, list(WORKPLACE_COLUMNS))
+    for group in file_groups(spark, paths, encoding=encoding) if paths else []:
+        found = match_columns(_column_names(group.names), list(WORKPLACE_COLUMNS))
         if missing := [c for c in WORKPLACE_COLUMNS if c not in found]:
-            raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
-        frames.append(raw.select(*(F.col(f"`{found[c]}`").alias(name) for c, name in WORKPLACE_COLUMNS.items())))
+            raise ValueError(f"{group.files[0]} lacks the columns {', '.join(missing)}")
+        lines = _group_lines(spark, group, True).filter(~_skipped(group))
+        frames.append(lines.select(*(F.col(f"`{found[c]}`").alias(name) for c, name in WORKPLACE_COLUMNS.items())))
     if not frames:
         return spark.createDataFrame([], "district_code string, ym string, subscribers double, billed double, hired double, left double")
     return shape_workplaces(union_all(frames))

@@ -353,6 +353,55 @@ def test_contract_files_are_read_by_their_own_header(spark, tmp_path):
         csv_files.scan_sales(spark, str(folder))
 
 
+def test_other_files_are_read_by_their_own_header_too(spark, tmp_path):
+    """Encoding and order of one file say nothing about the next, in files that are no contracts either."""
+    folder = tmp_path / "인구 표"
+    folder.mkdir()
+    write(folder / "a b.csv", "시도,연도,20대\n서울특별시,2020,5\n", "cp949")
+    write(folder / "b%20.csv", "연도,시도,30대\n2021,부산광역시,6\n")
+    write(folder / "empty.csv", "")
+    rows = csv_files.read_csv_any(spark, str(folder)).select("시도", "연도", "20대", "30대").collect()
+    assert sorted(map(tuple, rows)) == [("부산광역시", "2021", None, "6"), ("서울특별시", "2020", "5", None)]
+    # Headers without Korean text leave the encoding to the lines.
+    write(tmp_path / "x.csv", "region,n\n서울,1\n", "cp949")
+    write(tmp_path / "y.csv", "region,n\n부산,2,3,4\n부산\n")
+    both = [str(tmp_path / "x.csv"), str(tmp_path / "y.csv")]
+    assert [(g.encoding, g.names) for g in csv_files.file_groups(spark, both)] == [("MS949", ("region", "n")), ("UTF-8", ("region", "n"))]
+    assert sorted(map(tuple, csv_files.read_csv_any(spark, both).collect())) == [("부산", None), ("서울", "1")]
+    twice = write(tmp_path / "z.csv", "a,,a\n1,2,3\n")
+    assert csv_files.read_csv_any(spark, twice).columns == ["a0", "_c1", "a2"]
+    assert csv_files.read_csv_any(spark, str(folder / "empty.csv")).isEmpty()
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(60):
+        write(folder / f"{i:03d}.csv", f"년,값{i % 2}\n" + f"{i},1\n" * 3000)
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers")
+    groups = csv_files.file_groups(spark, str(folder))
+    jobs = context.statusTracker().getJobIdsForGroup("headers")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((g.names, len(g.files)) for g in groups) == [(("년", "값0"), 30), (("년", "값1"), 30)]
+    assert len([j for j in jobs if len(context.statusTracker().getJobInfo(j).stageIds) == 1]) <= 2  # listing files may be one of its own
+
+
+def test_contracts_land_with_their_rejects_in_one_scan(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    names = list(csv_files.SALE_COLUMNS)
+    write(folder / "a.csv", ",".join(names) + "\n2020,1,11110,50,2000,10\n2020,1,11110,50,2000,10,9,9\n2020,2,11110\n")
+    write(folder / "b.csv", ",".join(names[::-1]) + "\n20,2001,60,26110,3,2021\n")
+    got = csv_files.land_contracts(spark, str(folder), csv_files.SALE_COLUMNS, str(tmp_path / "landed"))
+    assert (got.lines, got.skipped, got.short) == (4, 1, 1)
+    assert got.rows.columns == list(csv_files.SALE_COLUMNS.values())
+    rows = sorted((r["year"], r["month"], r["amount"]) for r in got.rows.collect())
+    assert [r[:2] for r in rows] == [("2020", "1"), ("2020", "2"), ("2021", "3")] and rows[2][2] == "20"
+    reject = got.rejects.collect()
+    assert [(r["file"].rsplit("/", 1)[-1], r["line"]) for r in reject] == [("a.csv", "2020,1,11110,50,2000,10,9,9")]
+
+
 def test_household_items_have_no_cap(spark):
     rows = [{"PRD_DE": "2020", "C1_NM": "서울", "C2_NM": "전체", "C3_NM": f"항목 {i}", "ITM_NM": "평균", "DT": str(i)} for i in range(1500)]
     got = landed.household_items(listed(spark, rows)).collect()
