@@ -120,6 +120,15 @@ def first_available(df: DataFrame, candidates: list[str], usable: list[str] | No
     return next((c for c in candidates if c in df.columns and (usable is None or c in usable)), None)
 
 
+def first_usable(df: DataFrame, candidates: list[str]) -> str | None:
+    """First candidate column that the table has and that holds a value; one aggregate over the candidates alone."""
+    have = [c for c in candidates if c in df.columns]
+    if not have:
+        return None
+    row = df.agg(*(F.count(nan_to_null(F.col(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(have))).first()
+    return first_available(df, have, [c for i, c in enumerate(have) if row[i] > 0])
+
+
 def latest_period(df: DataFrame, column: str = "year") -> DataFrame:
     return df.filter(F.col(column) == df.select(F.max(column)).scalar())
 

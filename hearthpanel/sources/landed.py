@@ -79,6 +79,30 @@ def xml_rows(responses: DataFrame, tags: list[str], *, keep: list[str] = ()) ->
     return parsed.select(*keep, *(F.trim(F.col(f"r.`{tag}`")).alias(tag) for tag in tags))
 
 
+MALFORMED = "malformed"
+
+
+def read_items(spark: SparkSession, path: str | list[str], tags: list[str], *, item: str = "item") -> DataFrame:
+    """Items of response files of any size: ``file``, one trimmed text column per tag, and ``malformed``.
+
+    The end tag of an item ends a record, so a long file is split over tasks
+    and no task holds more of it than one item. Files whose result code is an
+    error give no items. An item that is no XML has null tags and its text in
+    ``malformed``; one that a file breaks off in is taken for whole if the tags
+    it has are closed. Text that holds no item gives no row.
+    """
+    opened = rf"<{item}(?:\s[^>]*)?>"
+    records = spark.read.option("lineSep", f"</{item}>").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    coded = with_result_code(records.filter(F.col("value").contains("<resultCode>")))
+    failed = coded.filter("failed").select("file").distinct()
+    inner = F.regexp_extract("value", rf"(?s){opened}(.*)\z", 1)
+    kept = records.filter(F.col("value").rlike(opened)).join(failed, "file", "left_anti").select("file", inner.alias("inner"))
+    schema = ", ".join(f"`{name}` string" for name in (*tags, MALFORMED))
+    text = F.concat(F.lit("<item>"), F.col("inner"), F.lit("</item>"))
+    parsed = kept.select("file", F.from_xml(text, schema, {"columnNameOfCorruptRecord": MALFORMED}).alias("r"))
+    return parsed.select("file", *(F.trim(F.col(f"r.`{tag}`")).alias(tag) for tag in tags), F.col(f"r.{MALFORMED}").alias(MALFORMED))
+
+
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -34,6 +36,43 @@ def overwrite_years(df: DataFrame, path: str, keys: list[str] | None = None) ->
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
+@dataclass(frozen=True)
+class Clustering:
+    """How a rollup is laid out: rows of one ``by`` share a bucket, and a bucket is kept in ``order``."""
+
+    by: tuple[str, ...] = ("district_code",)
+    order: tuple[str, ...] = ("district_code", "ym")
+    buckets: int = 64
+
+    def __post_init__(self):
+        if self.buckets < 1 or not self.by:
+            raise ValueError("a clustering needs columns and at least one bucket")
+
+
+def write_clustered(df: DataFrame, name: str, path: str, layout: Clustering = Clustering()) -> None:
+    """A rollup as a table of buckets, one file each.
+
+    Tables of one layout join on ``by`` without an exchange, and a filter on
+    ``by`` reads its own bucket only. Joins on further keys besides need
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off; ``by`` has to have
+    many values then, as all rows of one are in one task.
+    """
+    dealt = df.repartition(layout.buckets, *layout.by).sortWithinPartitions(*layout.order)
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(layout.buckets, *layout.by).sortBy(*layout.order).saveAsTable(name)
+
+
+def open_clustered(spark: SparkSession, name: str, path: str, schema: StructType, layout: Clustering = Clustering()) -> DataFrame:
+    """The same table in a session whose catalogue does not know it yet."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by, order = (", ".join(f"`{c}`" for c in cs) for cs in (layout.by, layout.order))
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY ({by}) SORTED BY ({order}) INTO {layout.buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A rollup counts only once its write has finished."""
     return path_exists(spark, f"{path}/_SUCCESS")

@@ -1,3 +1,3 @@
 """Import every workload module so that its queries register."""
 
-from workloads import contracts, ingest, panel, scores, stats  # noqa: F401
+from workloads import contracts, files, ingest, panel, scores, series, stats, timeline  # noqa: F401
