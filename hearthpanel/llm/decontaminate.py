@@ -11,6 +11,9 @@ WINDOW = 6
 PLAIN = 3
 #: Share of an item's words that a document has to follow.
 COVERAGE = 0.5
+#: Codes of placeholders in window keys, below those of all words.
+SLOTS = {"#name": 1 - 2**63, "#number": 2 - 2**63, "#unit": 3 - 2**63}
+WORD = r"\p{L}[\p{L}\p{M}]*|\d+(?:[.,]\d+)*"
 # Names are marked by a private character while a text is cut into words; capitalised words that may be names by another.
 MARK = "\ue000"
 MAYBE = "\ue001"
@@ -28,9 +31,13 @@ def words(text: Column) -> Column:
     One anywhere else, as at the start of a text or sentence or behind a quote,
     bracket or number, may be a name and keeps the other mark.
     """
-    marked = F.regexp_replace(F.translate(text, MARK + MAYBE, ""), r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", MARK + "$1")
-    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}" + MARK + r"])(\p{Lu}\p{Ll}+)", MAYBE + "$1")
-    return F.regexp_extract_all(marked, F.lit("[" + MARK + MAYBE + r"]?\p{L}[\p{L}\p{M}]*|\d+(?:[.,]\d+)*"), F.lit(0))
+    marked = F.regexp_replace(_unmarked(text), r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", MARK + "$1")
+    marked = F.regexp_replace(marked, r"(?<![\p{L}" + MARK + r"])(\p{Lu}\p{Ll}+)", MAYBE + "$1")
+    return F.regexp_extract_all(marked, F.lit("[" + MARK + MAYBE + "]?" + WORD), F.lit(0))
+
+
+def _unmarked(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(MAYBE)), F.translate(text, MARK + MAYBE, "")).otherwise(text)
 
 
 def _bare(word: Column) -> Column:
@@ -49,9 +56,9 @@ def template(raw: Column) -> Column:
     """The words with numbers, names, possible ones too, and units behind a number replaced by typed placeholders, the rest in lower case."""
 
     def slot(word: Column, i: Column) -> Column:
-        unit = _bare(word).isin(UNITS) & (i > 0) & F.coalesce(_number(F.get(raw, i - 1)), F.lit(False))
-        sure = F.when(F.startswith(word, F.lit(MARK)), "#name").when(_number(word), "#number").when(unit, "#unit")
-        return sure.when(_maybe(word), "#name").otherwise(F.lower(word))
+        unit = (i > 0) & F.coalesce(_number(F.get(raw, i - 1)), F.lit(False)) & _bare(word).isin(UNITS)
+        typed = F.when(_number(word), "#number").when(unit, "#unit")
+        return typed.when(F.startswith(word, F.lit(MARK)) | _maybe(word), "#name").otherwise(F.lower(word))
 
     return F.transform(raw, slot)
 
@@ -64,17 +71,55 @@ def _plain(canon: Column) -> Column:
     return F.size(F.filter(canon, lambda x: ~_is_slot(x)))
 
 
-def _keys(raw: Column, canon: Column) -> Column:
-    """(place, hash) of the windows at every word, places from 1: the template, and the words themselves where slots prevail."""
+def _code(word: Column) -> Column:
+    """Hash of a word in lower case."""
+    code = F.xxhash64(word)
+    return F.greatest(code, F.lit(4 - 2**63))
+
+
+def _codes(plain: Column) -> Column:
+    """For each word, without marks, the code of the word or of the placeholder that ``template`` gives it.
+
+    A word that starts a run of letters is a name, sure or possible, if a
+    capital and a small letter begin it, so texts need no marks here.
+    """
+
+    def code(word: Column, i: Column) -> Column:
+        unit = (i > 0) & F.coalesce(_number(F.get(plain, i - 1)), F.lit(False)) & F.lower(word).isin(UNITS)
+        name = ~F.substring(word, 1, 1).between("a", "z") & F.rlike(word, F.lit(r"^\p{Lu}\p{Ll}"))
+        slot = F.when(_number(word), SLOTS["#number"]).when(unit, SLOTS["#unit"]).when(name, SLOTS["#name"])
+        return slot.otherwise(_code(F.lower(word)))
+
+    return F.transform(plain, code)
+
+
+def _slots_prevail(window: Column) -> Column:
+    """Whether fewer than PLAIN codes of a window are those of words: slots sort before them."""
+    return F.get(F.sort_array(window), F.lit(WINDOW - PLAIN)) <= max(SLOTS.values())
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(doc_id, place, hash) of the windows at every word of (doc_id, text), places from 1.
+
+    The hash is that of the template, and another row has that of the words
+    themselves where slots prevail. Words are hashed once, in columns of their
+    own; windows only combine the numbers.
+    """
+    plain = texts.select("doc_id", F.regexp_extract_all(_unmarked(F.col("text")), F.lit(WORD), F.lit(0)).alias("plain"))
+    plain = plain.filter(F.size("plain") >= WINDOW)
+    coded = plain.select("doc_id", "plain", _codes(F.col("plain")).alias("codes"))
+    places = F.sequence(F.lit(1), F.size("codes") - WINDOW + 1)
+    begun = coded.select("doc_id", "plain", "codes", F.explode(places).alias("place"))
+    begun = begun.select("doc_id", "plain", "place", F.slice("codes", F.col("place"), F.lit(WINDOW)).alias("window"))
+    own = F.array(F.xxhash64("window"))
+    themselves = F.xxhash64(*(_code(F.lower(F.get("plain", F.col("place") + (k - 1)))) for k in range(WINDOW)))
+    both = F.when(_slots_prevail(F.col("window")), F.array(F.xxhash64("window"), themselves)).otherwise(own)
+    return begun.select("doc_id", "place", F.explode(both).alias("hash"))
 
-    def at(i: Column) -> Column:
-        window = F.slice(canon, i, F.lit(WINDOW))
-        own = F.struct(i.alias("place"), F.xxhash64(window).alias("hash"))
-        literal = F.struct(i.alias("place"), F.xxhash64(F.transform(F.slice(raw, i, F.lit(WINDOW)), _bare)).alias("hash"))
-        return F.when(_plain(window) >= PLAIN, F.array(own)).otherwise(F.array(own, literal))
 
-    places = F.when(F.size(canon) >= WINDOW, F.sequence(F.lit(1), F.size(canon) - WINDOW + 1))
-    return F.flatten(F.transform(places, at))
+def _key(window: Column) -> Column:
+    """The hash of a window of words and placeholders, as ``windows`` makes it."""
+    return F.xxhash64(F.transform(window, lambda w: F.coalesce(*(F.when(w == slot, F.lit(code)) for slot, code in SLOTS.items()), _code(w))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
@@ -122,13 +167,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE)
     none = F.array(F.array().cast("array<string>"))
     by_template = by_template.withColumn("options", options).withColumn("variants", F.aggregate("options", none, every))
     by_template = by_template.select("item_id", "item_place", F.explode("variants").alias("variant"))
-    literal = cut.filter(strict < PLAIN).select("item_id", "item_place", F.xxhash64(F.transform("raw", _bare)).alias("hash"))
-    keys = by_template.select("item_id", "item_place", F.xxhash64("variant").alias("hash")).unionByName(literal).distinct()
+    literal = cut.filter(strict < PLAIN).select("item_id", "item_place", _key(F.transform("raw", _bare)).alias("hash"))
+    keys = by_template.select("item_id", "item_place", _key(F.col("variant")).alias("hash")).unionByName(literal).distinct()
     known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    # Templates are columns of their own: inside a lambda they would be made again for every window.
-    canon = known.select("doc_id", words(F.col("text")).alias("raw")).select("doc_id", "raw", template(F.col("raw")).alias("canon"))
-    places = canon.select("doc_id", F.explode(_keys(F.col("raw"), F.col("canon"))).alias("w"))
-    hits = places.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(keys, "hash")
+    hits = windows(known).join(keys, "hash")
     begins = hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("begin")).distinct()
 
     asked = begins.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "begin")).alias("asked"))
