@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.llm import alignment, attribution, bpe, decontaminate, hilbert, jaccard, language_model, packing, quality, runs, suffixes
-from hearthpanel.llm import token_files, url_filter
+from hearthpanel.llm import oracles, token_files, url_filter
 from hearthpanel.llm.common import store, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op4_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "url_rules": oracles.URL_RULES,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -61,6 +65,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+@query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every page; the trees judge those without one in ``op6_url_filter``."""
+    host, path = url_filter.parts(F.col("url"))
+    placed = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = url_filter.rule_of(F.col("host"), F.col("path"))
+    return placed.withColumns({"rule": rule, "verdict": verdict})
+
+
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
