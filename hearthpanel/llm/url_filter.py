@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 #: Host endings with fewer labelled URLs than this have no statistics of their own.
 SUFFIX_SUPPORT = 5
+#: Labelled URLs are dealt into so many folds; the trees see a rate that the others of a URL's fold have no part in.
+FOLDS = 5
 TREES = 20
 DEPTH = 4
 # (verdict, host, path prefix)
@@ -92,8 +94,24 @@ def suffix_statistics(labelled: DataFrame, support: int = SUFFIX_SUPPORT) -> Dat
     return counts.filter(F.col("n") >= support).select("suffix", ((F.col("good") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
 
 
+def out_of_fold(labelled: DataFrame, support: int = SUFFIX_SUPPORT, folds: int = FOLDS) -> DataFrame:
+    """``labelled`` with the ``suffix_rate`` of its host ending over the labelled URLs of all other folds, null below ``support``.
+
+    So no URL's own label is part of what the trees learn from. Folds follow a hash of the URL.
+    """
+    dealt = labelled.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(folds)))
+    counts = dealt.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
+    whole = counts.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"))
+    n, good = F.col("all_n") - F.col("n"), F.col("all_good") - F.col("good")
+    rates = counts.join(whole, "suffix").filter(n >= support).select("suffix", "fold", ((good + 1) / (n + 2)).alias("suffix_rate"))
+    return dealt.join(rates, ["suffix", "fold"], "left").drop("fold")
+
+
 def _vectors(features: DataFrame, rates: DataFrame) -> DataFrame:
-    known = features.join(rates, "suffix", "left")
+    return _assembled(features.join(rates, "suffix", "left"))
+
+
+def _assembled(known: DataFrame) -> DataFrame:
     known = known.withColumn("suffix_known", F.col("suffix_rate").isNotNull().cast("double")).fillna(0.5, ["suffix_rate"])
     return VectorAssembler(inputCols=LEXICAL, outputCol="features", handleInvalid="keep").transform(known)
 
@@ -106,12 +124,12 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE) -> tuple[DataFrame, GBTCla
     """
     features = lexical(labelled)
     rates = suffix_statistics(features)
-    chosen = features.orderBy(F.xxhash64("url"), "url").limit(sample)
+    chosen = out_of_fold(features).orderBy(F.xxhash64("url"), "url").limit(sample)
     found = chosen.agg(F.count_distinct("label").alias("kinds"), F.avg("label").alias("share")).first()
     if found.kinds < 2:
         return rates, 0.5 if found.share is None else float(found.share)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label", checkpointInterval=-1)
-    return rates, trees.fit(_vectors(chosen, rates).select("features", F.col("label").cast("double").alias("label")).coalesce(1))
+    return rates, trees.fit(_assembled(chosen).select("features", F.col("label").cast("double").alias("label")).coalesce(1))
 
 
 def filter_urls(pages: DataFrame, *, rules: list[tuple[str, str, str]] = RULES, keep: list[str] | None = None) -> DataFrame:

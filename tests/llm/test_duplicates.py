@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from hearthpanel.llm import decontaminate, jaccard, suffixes
 from hearthpanel.llm.components import components
@@ -227,3 +229,39 @@ def test_leaks_are_native_and_complete(spark):
     items = [(r.item_id, flat(r.text)) for r in bench.collect()]
     whole = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in flat(r.text)}
     assert whole and {(r.doc_id, r.item_id) for r in found.collect()} == whole
+
+
+def test_windows_meet_where_templates_do(spark):
+    """Window hashes of a document against those of templates made word by word in Python."""
+    rnd = random.Random(8)
+    units, vocabulary = ["km", "Kg", "hours"], ["red", "Étude", "Anna", "bob", "McKay", "NASA", "e\u0301cole", "x\ue000y", "km", "Ü", "ǅemal"]
+    pieces = lambda: rnd.choice([rnd.choice(vocabulary), str(rnd.randrange(99)), f"{rnd.randrange(9)} {rnd.choice(units)}", "1,5", "a. Bob"])
+    texts = [rnd.choice([" ", ", ", "\n"]).join(pieces() for _ in range(rnd.randrange(1, 40))) for _ in range(60)] + ["", "a b c d e", "a b c d e f"]
+
+    def tokens(text):
+        found = regex.findall(r"\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*", text.replace("\ue000", "").replace("\ue001", ""))
+        typed = []
+        for i, w in enumerate(found):
+            if w[0].isdigit():
+                typed.append("#number")
+            elif i and found[i - 1][0].isdigit() and w.lower() in decontaminate.UNITS:
+                typed.append("#unit")
+            else:
+                typed.append("#name" if regex.match(r"\p{Lu}\p{Ll}", w) else w.lower())
+        return typed, [w.lower() for w in found]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.place, r.hash) for r in decontaminate.windows(docs).collect()}
+    want = set()
+    for doc, text in enumerate(texts):
+        typed, bare = tokens(text)
+        for i in range(len(typed) - decontaminate.WINDOW + 1):
+            window = typed[i : i + decontaminate.WINDOW]
+            want.add((doc, i + 1, tuple(window)))
+            if sum(w[0] != "#" for w in window) < decontaminate.PLAIN:
+                want.add((doc, i + 1, tuple(bare[i : i + decontaminate.WINDOW])))
+    rows = spark.createDataFrame([(d, p, list(w)) for d, p, w in want], "doc_id long, place int, w array<string>")
+    assert got == {(r.doc_id, r.place, r.hash) for r in rows.select("doc_id", "place", decontaminate._key(F.col("w")).alias("hash")).collect()}
+    raw = docs.select("doc_id", decontaminate.words(F.col("text")).alias("raw"))
+    made = {r.doc_id: r.canon for r in raw.select("doc_id", decontaminate.template(F.col("raw")).alias("canon")).collect()}
+    assert made == {doc: tokens(text)[0] for doc, text in enumerate(texts)}

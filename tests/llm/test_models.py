@@ -114,6 +114,21 @@ def test_url_trees_learn_the_labels(spark):
     assert share == 1.0 and one.count() == 1
 
 
+def test_url_rates_leave_out_the_fold_of_a_url(spark):
+    rnd = random.Random(3)
+    rows = [(f"http://{i}.x", rnd.choice("abc"), rnd.randrange(2)) for i in range(60)] + [("http://one.x", "rare", 1), ("http://one.x", None, 1)]
+    labelled = spark.createDataFrame(rows, "url string, suffix string, label int")
+    folds = {r.url: r.fold for r in labelled.select("url", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(url_filter.FOLDS)).alias("fold")).collect()}
+    got = url_filter.out_of_fold(labelled).collect()
+    assert sorted(map(str, ((r.url, r.suffix, r.label) for r in got))) == sorted(map(str, rows))
+    for r in got:
+        others = [label for url, suffix, label in rows if suffix == r.suffix and folds[url] != folds[r.url]]
+        if r.suffix is None or len(others) < url_filter.SUFFIX_SUPPORT:
+            assert r.suffix_rate is None
+        else:
+            assert r.suffix_rate == pytest.approx((sum(others) + 1) / (len(others) + 2))
+
+
 def test_url_entropy(spark):
     rows = spark.createDataFrame([("aabb",), ("",), ("aaaa",), ("abcd",)], "t string").select(url_filter._entropy(F.col("t")).alias("e")).collect()
     assert [r.e for r in rows] == [1.0, 0.0, 0.0, 2.0]
