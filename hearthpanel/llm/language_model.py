@@ -29,6 +29,8 @@ PIECE = 12 << 20
 TRAIN_PIECE = 4 << 20
 #: Bytes of text that are cut into words at a time.
 WORDS_PIECE = 1 << 20
+#: Names are looked up by their bits from this one on.
+LEADING = np.uint64(46)
 #: Name of the end of a document among the hashes of words.
 END = np.uint64(0x0123456789ABCDEF)
 
@@ -88,18 +90,33 @@ class Vocabulary:
         self.size, self.start = len(chosen), int(np.flatnonzero(chosen == END)[0])
         ids = dict(zip(chosen.tolist(), range(len(chosen))))
         self.ids = np.array([ids.get(x, self.size) for x in self.name.tolist()], np.int64)
+        self.first = None
 
     def find(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Model ids, counts, and whether the word is held here at all."""
         if not len(self.name):
             return np.where(name == END, self.start, self.size), np.zeros(len(name)), name == END
-        at = np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
+        at = np.minimum(self._places(name), len(self.name) - 1)
         held = self.name[at] == name
         ids = np.where(held, self.ids[at], self.size)
         ids[name == END] = self.start
         return ids, np.where(held, self.count[at], 0), held | (name == END)
 
 
+    def _places(self, name: np.ndarray) -> np.ndarray:
+        """Where ``name`` would stand among the sorted names; begins at the first with the same leading bits, which few share."""
+        if self.first is None:  # made in the task, not sent to it
+            sizes = np.bincount((self.name >> LEADING).astype(np.int64), minlength=1 << 64 - int(LEADING))
+            self.first = np.cumsum(sizes) - sizes
+        at = self.first[(name >> LEADING).astype(np.int64)]
+        known = np.append(self.name, ~np.uint64(0))
+        late = np.flatnonzero(known[at] < name)
+        while len(late):
+            at[late] += 1
+            late = late[known[at[late]] < name[late]]
+        return at
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, other: float, workers: int, *, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after rounds of side-by-side training on all words of every document.
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -346,3 +347,45 @@ def test_language_model_slopes_end_where_a_document_begins():
             down = loss()
             flat[i] = kept
             assert abs((up - down) / 2e-5 - slope[i]) < 1e-4 + 1e-3 * abs(slope[i]), name
+
+
+def test_language_model_takes_large_weights():
+    """Chances whose logits leave the range of an exponential."""
+    model = small_model()
+    model.parameters["to_class"] *= 1000
+    model.parameters["to_word"] *= 1000
+    states = np.sign(np.random.default_rng(1).normal(size=(3, 24)))
+    for state in states:
+        logs, _ = model.outputs(np.repeat(state[None], 71, 0), np.arange(71))
+        assert np.isfinite(logs).all() and abs(np.exp(logs).sum() - 1) < 1e-5
+
+
+def test_language_model_reuses_its_arrays():
+    """Windows of training and blocks of scoring work in arrays that are kept, which is most of their speed."""
+    rnd = np.random.default_rng(9)
+    model = Gru(np.arange(1024, 0, -1.0), 500.0)
+    documents = [rnd.integers(0, 1025, 200) for _ in range(2000)]
+    words, bounds = np.concatenate(documents), np.arange(2001) * 200
+    model.train(documents, 0, 0.01)
+    for work in (lambda: model.train(documents, 0, 0.01), lambda: model.score(words, bounds, 0)):
+        work()
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 9 << 20, peak
+
+
+def test_vocabulary_finds_what_a_search_finds():
+    rnd = np.random.default_rng(10)
+    near = (np.uint64(7) << np.uint64(50)) + rnd.integers(0, 300, 200).astype(np.uint64)  # these share their leading bits
+    name = np.unique(np.concatenate([rnd.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), near, [language_model.END, np.uint64(0), ~np.uint64(0)]]))
+    rnd.shuffle(name)
+    count = np.sort(rnd.integers(1, 1000, len(name)))[::-1]
+    vocabulary = language_model.Vocabulary(name, count)
+    asked = np.concatenate([name, name + np.uint64(1), near, rnd.integers(0, 1 << 63, 1000).astype(np.uint64)])
+    ids, counts, held = vocabulary.find(asked)
+    want = dict(zip(name.tolist(), count.tolist()))
+    assert counts.tolist() == [want.get(x, 0) for x in asked.tolist()] and held.tolist() == [x in want for x in asked.tolist()]
+    assert (ids < vocabulary.size).sum() == np.isin(asked, vocabulary.name[vocabulary.ids < vocabulary.size]).sum()
+    assert vocabulary._places(asked).tolist() == np.searchsorted(vocabulary.name, asked).tolist()
